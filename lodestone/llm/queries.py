@@ -18,6 +18,15 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.bpe import decode, encode
+
+    path = _tokenizer("word_bpe_49k.json")
+    ids = encode(_table(spark, sf_dir, "documents"), path)
+    digests = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
+    return decode(digests, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.token_files import read_token_files, write_token_files
 
