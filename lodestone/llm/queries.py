@@ -24,6 +24,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents")).select("doc_id", "n_pii", "text")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.bpe import decode, encode
 
