@@ -18,6 +18,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.sharding import shard
+
+    placed = shard(_table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.edit_embedding import edited_fingerprints
 
@@ -30,6 +37,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents")).select("doc_id", "n_pii", "text")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.decontamination import contamination
+
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.bpe import decode, encode
 
@@ -39,6 +54,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(digests, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.warc import read_archives, write_archives
+
+    path = write_archives(_table(spark, sf_dir, "pages"))
+    return read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.toxicity import fit, learnable, score
 
