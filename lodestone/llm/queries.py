@@ -32,6 +32,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.jaccard_join import similar
+
+    return similar(_table(spark, sf_dir, "documents"), 5, 75)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.edit_embedding import edited_fingerprints
 
