@@ -78,7 +78,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.toxicity import fit, learnable, score
 
     docs = _table(spark, sf_dir, "documents")
-    model = fit(learnable(docs, _table(spark, sf_dir, "labels")))
+    model = fit(docs, learnable(_table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -8,9 +8,9 @@ features whose presence tells most about the label are kept, and a logistic regr
 r * presence is fitted by gradient descent, weights held near their mean size so that the
 model interpolates between naive Bayes and the free fit.
 
-The fit itself reads a bounded sample: at most ``sample`` labelled documents, those with
-the smallest hashes of doc_id; the counts that make r cover every labelled document.
-Scoring covers every document and the whole text.
+Counts and fit read a bounded sample: at most ``sample`` labelled documents, those with the
+smallest hashes of doc_id, whatever the size of the tables. Scoring covers every document
+and the whole text.
 
 Defined cases: a null text counts as empty and scores the base rate; documents with a null
 doc_id are scored but never learnt from; labels that are null or not 0 or 1 are left out;
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import staged
+
 BITS, SIZES = 18, (3, 4, 5)
 FACTORS = np.asarray([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
 #: Texts are hashed together up to this many characters, a longer one in overlapping parts.
@@ -108,9 +110,16 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
-def fit(labelled: DataFrame, features: int = 1024, sample: int = 8000, rounds: int = 400, decay: float = 3e-4) -> Model:
-    """A model from ``labelled(doc_id, text, label)``."""
-    rows = labelled.where("doc_id is not null and label in (0, 1)").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("label").cast("int"))
+def fit(docs: DataFrame, labels: DataFrame, features: int = 1024, sample: int = 8000, rounds: int = 400, decay: float = 3e-4) -> Model:
+    """A model from the texts of ``docs(doc_id, text)`` that ``labels(doc_id, toxic)`` marks 0 or 1.
+
+    A document with several labels counts as toxic if one says so; of several texts with one
+    doc_id the smallest is read.
+    """
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # ``sample`` rows of two numbers: small enough to send to every task
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    rows = staged(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"))
 
     def count(batches):
         every, seen = np.arange(1 << BITS, dtype=np.int32), np.zeros((2, 1 << BITS), np.int64)
@@ -150,8 +159,7 @@ def fit(labelled: DataFrame, features: int = 1024, sample: int = 8000, rounds: i
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(feature.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(2), lists], ["label", "present"])
 
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
-    fitted = chosen.mapInArrow(vectors, "label int, present array<int>").toArrow()
+    fitted = rows.orderBy("doc_id").mapInArrow(vectors, "label int, present array<int>").toArrow()
     y = fitted.column("label").to_numpy().astype(float)
     lists = fitted.column("present").combine_chunks()
     doc = np.repeat(np.arange(len(y)), np.diff(np.asarray(lists.offsets)))
@@ -182,8 +190,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     return source.mapInArrow(run, fields)
 
 
-def learnable(docs: DataFrame, labels: DataFrame, learn: bool = True) -> DataFrame:
-    """(doc_id, text, label) of the documents whose label may be learnt (or, else, is held out)."""
+def learnable(labels: DataFrame, learn: bool = True) -> DataFrame:
+    """The rows of ``labels`` that may be learnt from (or, else, that are held out)."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    known = labels.where("doc_id is not null and toxic in (0, 1)").where((rest != 0) if learn else (rest == 0)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return labels.where(rest != 0 if learn else rest == 0)
