@@ -1,0 +1,488 @@
+"""Databases, sessions with transactions, tables, keys, cursors and number sequences.
+
+A session reads a snapshot: the version that was current when its transaction began, and
+its own changes in order. Changes stay in the session until commit, as staged tables or, for
+single rows, as Python rows that join them in one DataFrame. Commit writes them as new files
+and publishes the next version. No writer waits: rows changed by others since the snapshot
+make a serializable transaction fail, as do rows read for update; otherwise the last writer
+wins. The set-based methods (``insert_all``, ``update_where``, ``remove_where``) are the way
+to change many rows; those for single rows mirror them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.errors import EngineError, RowNotFound, SerializationConflict, UniqueConstraintError
+from lodestone.functions.ordering import MAX, MIN
+from lodestone.functions.types import MAX_KEY_COLUMNS, MAX_NAME_BYTES, check_row, conform, fitted, parse_types
+from lodestone.operators.relational import SortOptions, delete_keys, filter_rows, number_rows, point_lookup, range_scan, sort_rows, update_where, violations
+from lodestone.sources.staging import stage
+from lodestone.sources.store import RID, VERSION, Store
+from lodestone.streaming.rows import RowStream
+
+BLOCK = 100  # numbers that a sequence, or a session for single rows, reserves at once
+
+
+class Database:
+    """A folder of versioned tables."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.store, self.started, self.sessions = spark, Store(spark, root), False, []
+
+    def exists(self) -> bool:
+        return self.store.exists()
+
+    def in_use(self) -> bool:
+        return self.started
+
+    def create(self) -> None:
+        if self.exists():
+            raise EngineError("the database exists")
+        self.store.create()
+        self.started = True
+
+    def replace(self) -> None:
+        self.stop()
+        self.store.destroy()
+        self.create()
+
+    def start(self) -> None:
+        if not self.exists():
+            raise EngineError("there is no database")
+        self.store.state()
+        self.started = True
+
+    def stop(self) -> None:
+        """Ends all sessions; what they have not committed is lost."""
+        for s in self.sessions:
+            s.rollback()
+            s.open = False
+        self.sessions, self.started = [], False
+
+    def destroy(self) -> None:
+        self.stop()
+        self.store.destroy()
+
+    def create_session(self, serializable: bool = False) -> Session:
+        if not self.started:
+            raise EngineError("the database is not started")
+        self.sessions.append(Session(self, serializable))
+        return self.sessions[-1]
+
+
+@dataclass
+class Changes:
+    """A transaction's changes to one table, in order: ("insert" | "remove", DataFrame of rows or of ids, or Python rows)."""
+
+    steps: list[tuple[str, object]] = field(default_factory=list)
+    inserted: set[int] = field(default_factory=set)  # single rows; their keys are checked when they come
+
+    def add_row(self, kind: str, row: tuple) -> None:
+        if self.steps and self.steps[-1][0] == kind and isinstance(self.steps[-1][1], tuple):
+            self.steps[-1] = (kind, (*self.steps[-1][1], row))
+        else:
+            self.steps.append((kind, (row,)))
+
+
+class Session:
+    def __init__(self, db: Database, serializable: bool = False):
+        self.db, self.spark, self.store = db, db.spark, db.store
+        self.serializable, self.open = serializable, True
+        self._begin()
+
+    def _begin(self) -> None:
+        self.base: dict | None = None
+        self.changes: dict[str, Changes] = {}
+        self.locked: dict[str, list[DataFrame]] = {}
+        self.rids: dict[str, list[int]] = {}
+
+    def state(self) -> dict:
+        """The snapshot; a transaction takes it with its first operation."""
+        if not self.open:
+            raise EngineError("the session is closed")
+        if self.base is None:
+            self.base = self.store.state()
+        return self.base
+
+    # tables
+
+    def create_table(self, name: str, codes: str) -> Table:
+        """Takes effect at once, whatever becomes of the transaction."""
+        parse_types(codes)
+        if not name or len(name.encode()) > MAX_NAME_BYTES or "/" in name or name.startswith(("_", ".")):
+            raise EngineError(f"{name!r} cannot be a table's name")
+
+        def change(state: dict) -> None:
+            if name in state["tables"]:
+                raise EngineError(f"there is a table {name}")
+            state["tables"][name] = {"types": codes, "files": [], "removed": [], "keys": [], "next_rid": 0}
+
+        self._ddl(change)
+        return Table(self, name)
+
+    def drop_table(self, name: str) -> None:
+        def change(state: dict) -> None:
+            self.store.table_state(state, name)
+            del state["tables"][name]
+
+        self._ddl(change)
+        self.changes.pop(name, None)
+
+    def get_table(self, name: str) -> Table | None:
+        return Table(self, name) if name in self.store.state()["tables"] else None
+
+    def _ddl(self, change: Callable[[dict], None]) -> None:
+        self.state()
+        new = self.store.publish(change)
+        for name, t in new["tables"].items():  # the snapshot knows new tables and keys, but no new rows
+            old = self.base["tables"].get(name)
+            self.base["tables"][name] = {**t, "files": old["files"], "removed": old["removed"]} if old else t
+        for name in set(self.base["tables"]) - set(new["tables"]):
+            del self.base["tables"][name]
+
+    # sequences
+
+    def create_sequence(self, name: str) -> Sequence_:
+        def change(state: dict) -> None:
+            if name in state["sequences"]:
+                raise EngineError(f"there is a sequence {name}")
+            state["sequences"][name] = 0
+
+        self.store.publish(change)
+        return Sequence_(self.store, name)
+
+    def drop_sequence(self, name: str) -> None:
+        def change(state: dict) -> None:
+            if state["sequences"].pop(name, None) is None:
+                raise EngineError(f"there is no sequence {name}")
+
+        self.store.publish(change)
+
+    def get_sequence(self, name: str) -> Sequence_ | None:
+        return Sequence_(self.store, name) if name in self.store.state()["sequences"] else None
+
+    # queries
+
+    def sort(self, source: DataFrame | RowStream, options: SortOptions | None = None, n_keys: int = 0, ascending: bool | Sequence[bool] = True) -> DataFrame:
+        return sort_rows(source.df if isinstance(source, RowStream) else source, n_keys, ascending, options)
+
+    def read(self, name: str, upto: int | None = None) -> DataFrame:
+        """A table's rows (_rid and columns) in the snapshot, after the first ``upto`` (default: all) own changes."""
+        rows = self.store.read(self.state(), name)
+        schema = rows.schema
+        for kind, what in self.changes.get(name, Changes()).steps[:upto]:
+            df = what if isinstance(what, DataFrame) else self.spark.createDataFrame(list(what), schema if kind == "insert" else f"{RID} long")
+            rows = rows.unionByName(df) if kind == "insert" else delete_keys(rows, F.broadcast(df) if isinstance(what, tuple) else df, RID)
+        return rows
+
+    # transactions
+
+    def rollback(self) -> None:
+        self._begin()
+
+    def commit(self) -> None:
+        """Publishes the changes as the next version."""
+        base, work = self.base, {n: c for n, c in self.changes.items() if c.steps}
+        locked = self.locked
+        if not work:
+            self._begin()
+            return
+        prepared = {}
+        for name, c in work.items():
+            old = self.store.read(base, name)
+            new = stage(self.read(name))
+            touched = None
+            for kind, what in c.steps:
+                ids = what.select(RID) if isinstance(what, DataFrame) else self.spark.createDataFrame([(r[0],) for r in what], f"{RID} long")
+                touched = ids if touched is None else touched.union(ids)
+            touched = stage(touched.distinct())
+            prepared[name] = (touched, stage(new.join(touched, RID, "left_semi")), stage(old.select(RID).join(touched, RID, "left_semi")))
+
+        def change(state: dict) -> None:
+            for name, (touched, rows, known) in prepared.items():
+                table = self.store.table_state(state, name)
+                since = set(table["files"] + table["removed"]) - {x for t in [base["tables"][name]] for x in t["files"] + t["removed"]}
+                if since:
+                    others = self.spark.read.schema(f"{RID} long").parquet(*(f"{self.store.root}/{f}" for f in since))
+                    watched = locked.get(name, []) + ([touched] if self.serializable else [])
+                    for ids in watched:
+                        if not ids.join(others, RID, "left_semi").isEmpty():
+                            raise SerializationConflict(f"rows of {name} changed since the transaction began")
+                self._check_keys(state, name, touched, rows)
+                version = F.lit(state["version"]).cast("long")
+                gone = self.store.read(state, name).select(RID).join(touched, RID, "left_semi")
+                if not gone.isEmpty():
+                    table["removed"].append(self.store.write(gone.select(RID, version.alias(VERSION)), name))
+                if not rows.isEmpty():
+                    table["files"].append(self.store.write(rows.withColumn(VERSION, version), name))
+
+        try:
+            self.store.publish(change)
+        finally:
+            self._begin()
+
+    def _check_keys(self, state: dict, name: str, touched: DataFrame, rows: DataFrame) -> None:
+        for key in self.store.table_state(state, name)["keys"]:
+            if key["unique"]:
+                columns = [f"c{p}" for p in key["columns"]]
+                others = delete_keys(self.store.read(state, name), touched, RID).select(*columns)
+                mine = rows.select(*columns)
+                if not violations(mine, columns).isEmpty():
+                    raise UniqueConstraintError(f"two new rows of {name} have one key")
+                same = [others[c].eqNullSafe(mine[c]) for c in columns]
+                if not others.join(mine, same, "left_semi").isEmpty():
+                    raise UniqueConstraintError(f"a row of {name} has the key of a new one")
+
+
+class Table:
+    """A session's view of one table."""
+
+    def __init__(self, session: Session, name: str):
+        self.session, self.name, self.spark = session, name, session.spark
+
+    @property
+    def _info(self) -> dict:
+        return self.session.store.table_state(self.session.state(), self.name)
+
+    @property
+    def schema(self):
+        return parse_types(self._info["types"])
+
+    @property
+    def changes(self) -> Changes:
+        self._info  # noqa: B018  fails if the table is gone
+        return self.session.changes.setdefault(self.name, Changes())
+
+    def df(self) -> DataFrame:
+        """All rows that the session sees, with their ids as _rid."""
+        return self.session.read(self.name)
+
+    def _reserve(self, n: int) -> int:
+        """The first of ``n`` row ids that no other row ever gets."""
+        first = []
+
+        def change(state: dict) -> None:
+            table = self.session.store.table_state(state, self.name)
+            first[:] = [table["next_rid"]]
+            table["next_rid"] += n
+
+        self.session.store.publish(change)
+        return first[0]
+
+    # many rows
+
+    def insert_all(self, rows: DataFrame) -> None:
+        """Insert a DataFrame's rows; columns go by position and missing last ones are null."""
+        held = stage(conform(rows, self.schema))
+        held = stage(number_rows(held, self._reserve(held.count()), RID).select(RID, *held.columns))
+        self.changes.steps.append(("insert", held))
+
+    def remove_where(self, passes: Column) -> None:
+        self.changes.steps.append(("remove", stage(filter_rows(self.df(), passes).select(RID))))
+
+    def update_where(self, passes: Column, values: dict[str, Column]) -> None:
+        """New values for columns, by name, in all rows that pass."""
+        found = filter_rows(self.df(), passes)
+        new = update_where(found, F.lit(True), values)
+        held = stage(new.select(RID, *(fitted(F.col(f.name), f) for f in self.schema.fields)))
+        self.changes.steps.append(("remove", held.select(RID)))
+        self.changes.steps.append(("insert", held))
+
+    # single rows
+
+    def insert(self, row: Iterable) -> int:
+        """Insert one row and return its id; a unique key that is taken fails at once."""
+        values = check_row(tuple(row), self.schema)
+        self._check_row(values)
+        free = self.session.rids.setdefault(self.name, [])
+        if not free:
+            first = self._reserve(BLOCK)
+            free.extend(range(first + BLOCK - 1, first - 1, -1))
+        rid = free.pop()
+        self.changes.add_row("insert", (rid, *values))
+        return rid
+
+    def _check_row(self, values: tuple, rid: int | None = None) -> None:
+        for key in self._info["keys"]:
+            if key["unique"]:
+                found = point_lookup(self.df(), [f"c{p}" for p in key["columns"]], [values[p] for p in key["columns"]])
+                if not found.filter(F.lit(True) if rid is None else F.col(RID) != rid).isEmpty():
+                    raise UniqueConstraintError(f"a row of {self.name} has this key")
+
+    def fetch(self, rid: int) -> Row | None:
+        found = self.df().filter(F.col(RID) == rid).head(1)
+        return found[0] if found else None
+
+    def fetch_for_update(self, rid: int) -> Row | None:
+        """The row's current version; the transaction fails at commit if others change it before."""
+        self.lock(self.spark.createDataFrame([(rid,)], f"{RID} long"))
+        if any(r[0] == rid for _, what in self.changes.steps if isinstance(what, tuple) for r in what):
+            return self.fetch(rid)
+        found = self.session.store.read(self.session.store.state(), self.name).filter(F.col(RID) == rid).head(1)
+        own = self.fetch(rid)
+        if found and own is not None and tuple(found[0]) != tuple(own):
+            raise SerializationConflict(f"row {rid} of {self.name} changed since the transaction began")
+        return own if found or own else None
+
+    def lock(self, ids: DataFrame) -> None:
+        self.session.state()
+        self.session.locked.setdefault(self.name, []).append(ids.select(RID))
+
+    def update(self, rid: int, row: Iterable) -> None:
+        """Replace a whole row."""
+        values = check_row(tuple(row), self.schema)
+        if self.fetch(rid) is None:
+            raise RowNotFound(f"no row {rid}")
+        self._check_row(values, rid)
+        self.changes.add_row("remove", (rid,))
+        self.changes.add_row("insert", (rid, *values))
+
+    def remove(self, rid: int) -> None:
+        """Remove a row; one that is gone already is no error."""
+        self.changes.add_row("remove", (rid,))
+
+    # keys and cursors
+
+    def create_index(self, columns: Sequence[int], unique: bool = False) -> Index:
+        columns = list(columns)
+        if not 0 < len(columns) <= MAX_KEY_COLUMNS or any(not 0 <= p < len(self.schema) for p in columns):
+            raise EngineError(f"{columns} is no key of {self.name}")
+        if unique and not violations(self.df(), [f"c{p}" for p in columns]).isEmpty():
+            raise UniqueConstraintError(f"rows of {self.name} share a key")
+
+        def change(state: dict) -> None:
+            table = self.session.store.table_state(state, self.name)
+            if any(k["columns"] == columns for k in table["keys"]):
+                raise EngineError(f"{self.name} has this key")
+            if unique and not violations(self.session.store.read(state, self.name), [f"c{p}" for p in columns]).isEmpty():
+                raise UniqueConstraintError(f"rows of {self.name} share a key")
+            table["keys"].append({"columns": columns, "unique": unique})
+
+        self.session._ddl(change)
+        return Index(self, columns)
+
+    def drop_index(self, columns: Sequence[int]) -> None:
+        def change(state: dict) -> None:
+            table = self.session.store.table_state(state, self.name)
+            left = [k for k in table["keys"] if k["columns"] != list(columns)]
+            if len(left) == len(table["keys"]):
+                raise EngineError(f"{self.name} has no such key")
+            table["keys"] = left
+
+        self.session._ddl(change)
+
+    def get_index(self, columns: Sequence[int]) -> Index | None:
+        return Index(self, list(columns)) if any(k["columns"] == list(columns) for k in self._info["keys"]) else None
+
+    def cursor(self, for_update: bool = False) -> Cursor:
+        return Cursor(self, for_update=for_update)
+
+
+class Index:
+    """Lookups and ranges by a key: conditions that reach the Parquet scan, not a structure of its own."""
+
+    def __init__(self, table: Table, columns: Sequence[int]):
+        self.table, self.keys = table, [f"c{p}" for p in columns]
+
+    def fetch(self, key: Sequence) -> Row | None:
+        """The row with this key that was inserted first."""
+        found = point_lookup(self.table.df(), self.keys, key).orderBy(RID).head(1)
+        return found[0] if found else None
+
+    def fetch_for_update(self, key: Sequence) -> Row | None:
+        row = self.fetch(key)
+        return row and self.table.fetch_for_update(row[RID])
+
+    def cursor(self, lower: Sequence = (), upper: Sequence = (), inclusive: tuple[bool, bool] = (True, True), for_update: bool = False) -> Cursor:
+        return Cursor(self.table, self.keys, lower, upper, inclusive, for_update)
+
+
+class Cursor:
+    """A scan of what the session saw when it was opened: by row id, or by a key within bounds."""
+
+    def __init__(self, table: Table, keys: Sequence[str] = (), lower: Sequence = (), upper: Sequence = (), inclusive: tuple[bool, bool] = (True, True), for_update: bool = False):
+        self.table, self.keys, self.for_update = table, list(keys), for_update
+        self.lower, self.upper, self.inclusive = list(lower), list(upper), inclusive
+        self.stream: RowStream | None = None
+
+    def open(self) -> None:
+        n = len(self.table.changes.steps)
+        changes = self.table.changes
+        if changes.steps and isinstance(changes.steps[-1][1], tuple):  # later rows must not join what this cursor sees
+            kind, rows = changes.steps[-1]
+            schema = self.table.session.store.schema(self.table._info["types"]) if kind == "insert" else f"{RID} long"
+            changes.steps[-1] = (kind, self.table.spark.createDataFrame(list(rows), schema))
+        df = self.table.session.read(self.table.name, n)
+        if self.keys:
+            pad = lambda b, end: [*b, *[end] * (len(self.keys) - len(b))]
+            df = range_scan(df, self.keys, pad(self.lower, MIN), pad(self.upper, MAX), self.inclusive)
+        self.stream = RowStream(df, [*self.keys, RID])
+
+    def close(self) -> None:
+        self.stream = None
+
+    def _fetch(self, up: bool, passes) -> Row | None:
+        if self.stream is None:
+            self.open()
+            if not up:
+                self.stream.forward()
+        row = self.stream.fetch_next(passes) if up else self.stream.fetch_prev(passes)
+        return row if row is None or not self.for_update else self.table.fetch_for_update(row[RID])
+
+    def fetch_next(self, passes: Column | Callable | None = None) -> Row | None:
+        return self._fetch(True, passes)
+
+    def fetch_prev(self, passes: Column | Callable | None = None) -> Row | None:
+        return self._fetch(False, passes)
+
+    def rewind(self) -> None:
+        if self.stream:
+            self.stream.rewind()
+
+    def forward(self) -> None:
+        if self.stream is None:
+            self.open()
+        self.stream.forward()
+
+    @property
+    def current_rid(self) -> int:
+        if self.stream is None or self.stream.row is None:
+            raise EngineError("the cursor is on no row")
+        return self.stream.row[RID]
+
+    def update_current(self, row: Iterable) -> None:
+        self.table.update(self.current_rid, row)
+
+    def remove_current(self) -> None:
+        self.table.remove(self.current_rid)
+
+    def df(self) -> DataFrame:
+        """The rows of the cursor as a DataFrame, the way to read many."""
+        if self.stream is None:
+            self.open()
+        return self.stream.df
+
+
+class Sequence_:
+    """Unique numbers from 0. Each handle reserves a block by a commit of its own; what it does not use is lost."""
+
+    def __init__(self, store: Store, name: str):
+        self.store, self.name, self.free = store, name, iter(())
+
+    def next(self) -> int:
+        n = next(self.free, None)
+        if n is None:
+            def change(state: dict) -> None:
+                if self.name not in state["sequences"]:
+                    raise EngineError(f"there is no sequence {self.name}")
+                state["sequences"][self.name] += BLOCK
+
+            end = self.store.publish(change)["sequences"][self.name]
+            self.free = iter(range(end - BLOCK, end))
+            n = next(self.free)
+        return n

@@ -1,0 +1,172 @@
+"""Versioned tables as Parquet files: every commit adds files and a new version, and none is changed.
+
+Below the database's folder, ``<table>/<id>`` holds rows (_rid, _ver and the columns) or
+ids of removed rows (_rid, _ver) of one commit, and ``_log/<version>.json`` lists, for each
+table, its type codes, its files of either kind, its keys and the next free row id. A
+listing appears whole, by a rename, so a crash before that leaves the version before. An
+older version stays readable until ``vacuum``.
+
+All files are reached through Spark's own file systems.
+"""
+
+from __future__ import annotations
+
+import copy
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestone.errors import EngineError
+from lodestone.functions.ordering import terms
+from lodestone.functions.types import parse_types
+
+RID, VERSION = "_rid", "_ver"
+
+
+class Files:
+    """The few file operations that a log needs, on whatever file system holds ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.gateway, self.conf = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration()
+        self.root = root.rstrip("/")
+        self.fs = self._path("").getFileSystem(self.conf)
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str = "") -> bool:
+        return self.fs.exists(self._path(name))
+
+    def names(self, name: str = "") -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(name))) if self.exists(name) else []
+
+    def delete(self, name: str = "") -> None:
+        self.fs.delete(self._path(name), True)
+
+    def make(self, name: str = "") -> None:
+        self.fs.mkdirs(self._path(name))
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> bool:
+        """Writes a new file, whole or not at all; False if there is one."""
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        stream = self.fs.create(self._path(part), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.conf)
+        plain = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._path(part), self._path(name), plain)
+        except Exception:
+            self.fs.delete(self._path(part), False)
+            if self.exists(name):
+                return False
+            raise
+        return True
+
+
+class Store:
+    """The versions of a database's tables."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+
+    def create(self) -> None:
+        self.files.make("_log")
+        self._write({"version": 0, "tables": {}, "sequences": {}})
+
+    def exists(self) -> bool:
+        return bool(self.files.names("_log"))
+
+    def destroy(self) -> None:
+        self.files.delete()
+
+    def _write(self, state: dict) -> bool:
+        return self.files.create(f"_log/{state['version']:012d}.json", json.dumps(state))
+
+    def state(self, version: int | None = None) -> dict:
+        """What a version (default: the current) lists."""
+        names = [n for n in self.files.names("_log") if n.endswith(".json")]
+        name = f"{version:012d}.json" if version is not None else names[-1] if names else None
+        if name not in names:
+            raise EngineError(f"{self.root} holds no database" if version is None else f"no version {version}")
+        return json.loads(self.files.read(f"_log/{name}"))
+
+    def publish(self, change, tries: int = 20) -> dict:
+        """Make ``change(state)`` the next version, again from the newest state if another writer was faster."""
+        for _ in range(tries):
+            state = copy.deepcopy(self.state())
+            state["version"] += 1
+            change(state)
+            if self._write(state):
+                return state
+        raise EngineError("other writers were faster every time")
+
+    def table_state(self, state: dict, name: str) -> dict:
+        if name not in state["tables"]:
+            raise EngineError(f"there is no table {name}")
+        return state["tables"][name]
+
+    def schema(self, codes: str) -> T.StructType:
+        return T.StructType([T.StructField(RID, T.LongType()), *parse_types(codes).fields])
+
+    def read(self, state: dict, name: str) -> DataFrame:
+        """A version's rows (_rid and the columns). Removed ids are matched by an anti join, on commits' versions."""
+        table = self.table_state(state, name)
+        schema = T.StructType([*self.schema(table["types"]).fields, T.StructField(VERSION, T.LongType())])
+        if not table["files"]:
+            return self.spark.createDataFrame([], schema).drop(VERSION)
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{f}" for f in table["files"]))
+        if table["removed"]:
+            gone = self.spark.read.schema(f"{RID} long, {VERSION} long").parquet(*(f"{self.root}/{f}" for f in table["removed"]))
+            gone = gone.groupBy(F.col(RID).alias("_gone")).agg(F.max(VERSION).alias("_until"))
+            rows = rows.join(gone, (F.col(RID) == F.col("_gone")) & (F.col(VERSION) < F.col("_until")), "left_anti")
+        return rows.drop(VERSION)
+
+    def write(self, df: DataFrame, name: str) -> str:
+        """Write ``df`` as a new file set of a table; it belongs to no version yet."""
+        path = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{path}")
+        return path
+
+    def compact(self, name: str, keys: list[str] | None = None) -> None:
+        """Rewrite a table's rows in one file set without removed rows, clustered by ``keys`` (default: _rid)."""
+        state = self.state()
+        table = self.table_state(state, name)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        order = terms([*(keys or []), RID])
+        rows = self.read(state, name).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        path = self.write(rows.withColumn(VERSION, F.lit(state["version"]).cast("long")), name)
+
+        def change(new: dict) -> None:
+            if new["tables"].get(name) != table:
+                raise EngineError(f"{name} changed during compaction; nothing was done")
+            new["tables"][name] |= {"files": [path], "removed": []}
+
+        self.publish(change)
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Forget all but the last ``keep`` versions, and the files that only they, or no version at all, list."""
+        last = self.state()["version"]
+        listed = set()
+        for name in self.files.names("_log"):
+            version = int(name.split(".")[0])
+            if version <= last - keep or name.endswith(".part"):
+                self.files.delete(f"_log/{name}")
+            else:
+                for t in self.state(version)["tables"].values():
+                    listed |= {*t["files"], *t["removed"]}
+        for folder in self.files.names():
+            if folder != "_log":
+                for name in self.files.names(folder):
+                    if f"{folder}/{name}" not in listed:
+                        self.files.delete(f"{folder}/{name}")

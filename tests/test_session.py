@@ -1,0 +1,268 @@
+"""Tables, keys, cursors, transactions and sequences."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.errors import EngineError, RowNotFound, SerializationConflict, TypeMismatchError, UniqueConstraintError
+from lodestone.operators.relational import SortOptions
+from lodestone.plans.session import Database
+from lodestone.sources.memory import rows_source
+
+
+@pytest.fixture
+def db(spark, tmp_path):
+    base = Database(spark, f"file://{tmp_path}/db")
+    base.create()
+    yield base
+    base.destroy()
+
+
+def values(df):
+    return sorted(tuple(r)[1:] for r in df.collect())
+
+
+def test_rows_survive_commit_and_not_rollback(db):
+    s = db.create_session()
+    t = s.create_table("t", "Is")
+    rid = t.insert((1, "one"))
+    t.insert((2, "two"))
+    s.commit()
+    t.update(rid, (1, "ONE"))
+    assert tuple(t.fetch(rid)) == (rid, 1, "ONE")
+    s.rollback()
+    assert values(t.df()) == [(1, "one"), (2, "two")]
+    t.remove(rid)
+    t.remove(rid)
+    s.commit()
+    assert values(db.create_session().get_table("t").df()) == [(2, "two")]
+    with pytest.raises(RowNotFound):
+        t.update(rid, (3, "x"))
+
+
+def test_sets_of_rows(db, spark):
+    s = db.create_session()
+    t = s.create_table("t", "Is")
+    t.insert_all(spark.range(1000).select(F.col("id").cast("int"), F.lit("hello")))
+    s.commit()
+    assert sorted(r._rid for r in t.df().collect()) == list(range(1000))
+    t.remove_where(F.col("c0") != 123)
+    t.update_where(F.col("c0") == 123, {"c1": F.lit("kept")})
+    s.commit()
+    assert values(t.df()) == [(123, "kept")]
+    t.insert_all(spark.range(3).select(F.col("id").cast("int")))
+    assert values(t.df().where("c1 is null")) == [(0, None), (1, None), (2, None)]
+    s.commit()
+    s.store.compact("t", ["c0"])
+    s.store.vacuum()
+    s.rollback()
+    assert s.get_table("t").df().count() == 4
+    with pytest.raises(Exception, match="255 bytes"):
+        t.insert_all(spark.sql("select 1, repeat('x', 256)"))
+
+
+def test_types_are_checked(db):
+    s = db.create_session()
+    with pytest.raises(TypeMismatchError):
+        s.create_table("bad", "sSbiIldaAx")
+    t = s.create_table("t", "sSbiIldaA")
+    top = ("x" * 255, "y" * 1000, 127, 32767, 2**31 - 1, 2**63 - 1, 1.5, b"a" * 255, b"b" * 999)
+    rid = t.insert(top)
+    s.commit()
+    assert tuple(t.fetch(rid))[1:] == top
+    for bad in (("é" * 128,), (None, None, 128), (None,) * 4 + (2**31,), (1,)):
+        with pytest.raises(TypeMismatchError):
+            t.insert(bad)
+
+
+def test_unique_keys(db):
+    s = db.create_session()
+    t = s.create_table("t", "Is")
+    t.create_index([0], unique=True)
+    t.insert((1, "a"))
+    t.insert((None, "n"))
+    with pytest.raises(UniqueConstraintError):
+        t.insert((1, "b"))
+    with pytest.raises(UniqueConstraintError):
+        t.insert((None, "m"))
+    s.commit()
+    other = db.create_session()
+    mine, theirs = s.get_table("t"), other.get_table("t")
+    mine.insert((7, "mine"))
+    theirs.insert((7, "theirs"))
+    s.commit()
+    with pytest.raises(UniqueConstraintError):
+        other.commit()
+    assert values(s.get_table("t").df().where("c0 = 7")) == [(7, "mine")]
+    t = s.get_table("t")
+    rid = t.get_index([0]).fetch([7])._rid
+    t.remove(rid)
+    t.insert((7, "again"))
+    s.commit()
+    assert t.get_index([0]).fetch([7]).c1 == "again" and t.get_index([0]).fetch([None]).c1 == "n" and t.get_index([0]).fetch([99]) is None
+    t.insert((8, "x"))
+    s.commit()
+    dup = s.create_table("d", "I")
+    dup.insert((1,))
+    dup.insert((1,))
+    with pytest.raises(UniqueConstraintError):
+        dup.create_index([0], unique=True)
+    t.drop_index([0])
+    assert t.get_index([0]) is None
+
+
+def test_cursor_keeps_what_it_saw_when_opened(db):
+    s = db.create_session()
+    t = s.create_table("t", "I")
+    for i in range(5):
+        t.insert((i,))
+    c = t.cursor()
+    c.open()
+    t.insert((5,))
+    seen = []
+    while (r := c.fetch_next()) is not None:
+        seen.append(r.c0)
+    assert seen == [0, 1, 2, 3, 4] and c.fetch_next() is None
+    back = []
+    while (r := c.fetch_prev()) is not None:
+        back.append(r.c0)
+    assert back == seen[::-1]
+    c.rewind()
+    assert c.fetch_next().c0 == 0 and c.fetch_next().c0 == 1 and c.fetch_prev().c0 == 0
+    c.close()
+    assert [r.c0 for r in iter(c.fetch_next, None)] == [0, 1, 2, 3, 4, 5]
+    c.forward()
+    assert c.fetch_prev(F.col("c0") < 3).c0 == 2
+    c.update_current((22,))
+    assert t.fetch(c.current_rid).c0 == 22
+    c.remove_current()
+    s.commit()
+    assert values(t.df()) == [(0,), (1,), (3,), (4,), (5,)]
+    empty = s.create_table("e", "I").cursor()
+    assert empty.fetch_next() is None and empty.fetch_prev() is None
+    with pytest.raises(EngineError):
+        _ = empty.current_rid
+
+
+def test_index_cursor_order_and_bounds(db):
+    s = db.create_session()
+    t = s.create_table("t", "Is")
+    for row in [(3, "c"), (1, "a"), (None, "n"), (2, "b"), (2, "bb")]:
+        t.insert(row)
+    i = t.create_index([0])
+    every = i.cursor()
+    assert [r.c1 for r in iter(every.fetch_next, None)] == ["a", "b", "bb", "c", "n"]
+    assert [r.c1 for r in iter(every.fetch_prev, None)] == ["n", "c", "bb", "b", "a"]
+    assert [r.c1 for r in iter(i.cursor([2], [3], (False, True)).fetch_next, None)] == ["c"]
+    assert [r.c1 for r in iter(i.cursor([2]).fetch_next, None)] == ["b", "bb", "c", "n"]
+    assert [r.c1 for r in iter(i.cursor(upper=[2]).fetch_prev, None)] == ["bb", "b", "a"]
+    assert [r.c1 for r in iter(lambda: every.fetch_next(lambda r: r.c0 == 2), None)] == ["b", "bb"]
+
+
+def test_snapshots_and_conflicts(db):
+    a, b = db.create_session(), db.create_session(serializable=True)
+    t = a.create_table("t", "l")
+    rid = t.insert((10,))
+    a.commit()
+    u = b.get_table("t")
+    assert u.fetch(rid).c0 == 10
+    t.update(rid, (11,))
+    assert u.fetch(rid).c0 == 10
+    a.commit()
+    assert u.fetch(rid).c0 == 10
+    u.update(rid, (12,))
+    with pytest.raises(SerializationConflict):
+        b.commit()
+    assert u.fetch(rid).c0 == 11
+    b.serializable = False
+    u.fetch(rid)
+    t.update(rid, (20,))
+    a.commit()
+    u.update(rid, (21,))
+    b.commit()  # the last writer wins
+    a.rollback()
+    assert t.fetch(rid).c0 == 21
+
+
+def test_no_update_is_lost_that_was_read_for_update(db):
+    a, b = db.create_session(), db.create_session()
+    t = a.create_table("sum", "l")
+    rid = t.insert((0,))
+    a.commit()
+    done = 0
+    for n in range(3):
+        for s in (a, b):
+            for _ in range(5):
+                try:
+                    u = s.get_table("sum")
+                    u.update(rid, (u.fetch_for_update(rid).c0 + 1,))
+                    if n == 1 and s is b and done < 4:  # another writer comes in between
+                        v = a.get_table("sum")
+                        v.update(rid, (v.fetch_for_update(rid).c0 + 1,))
+                        a.commit()
+                        done += 1
+                    s.commit()
+                    done += 1
+                    break
+                except SerializationConflict:
+                    s.rollback()
+    a.rollback()
+    assert a.get_table("sum").fetch(rid).c0 == done
+
+
+def test_crash_before_publishing_changes_nothing(db, monkeypatch):
+    s = db.create_session()
+    t = s.create_table("t", "I")
+    t.insert((1,))
+    s.commit()
+    t.insert((2,))
+    monkeypatch.setattr(s.store, "_write", lambda state: (_ for _ in ()).throw(OSError("crash")))
+    with pytest.raises(OSError, match="crash"):
+        s.commit()
+    monkeypatch.undo()
+    fresh = Database(db.spark, db.store.root)
+    fresh.start()
+    fresh.store.vacuum()
+    assert values(fresh.create_session().get_table("t").df()) == [(1,)]
+
+
+def test_sequences_skip_what_a_block_did_not_use(db):
+    s = db.create_session()
+    q = s.create_sequence("q")
+    assert [q.next() for _ in range(250)] == list(range(250))
+    s.rollback()
+    db.stop()
+    db.start()
+    q = db.create_session().get_sequence("q")
+    assert q.next() == 300
+    s = db.create_session()
+    s.drop_sequence("q")
+    assert s.get_sequence("q") is None
+    with pytest.raises(EngineError):
+        q2 = s.create_sequence("r")
+        s.drop_sequence("r")
+        [q2.next() for _ in range(1)]
+
+
+def test_ddl_outlives_rollback_and_names_are_checked(db):
+    s = db.create_session()
+    s.create_table("t", "I")
+    s.rollback()
+    assert s.get_table("t") is not None
+    with pytest.raises(EngineError):
+        s.create_table("t", "I")
+    s.drop_table("t")
+    assert s.get_table("t") is None
+    with pytest.raises(EngineError):
+        s.create_table("x" * 128, "I")
+    db.stop()
+    with pytest.raises(EngineError):
+        s.create_table("u", "I")
+
+
+def test_session_sort(db, spark):
+    s = db.create_session()
+    rows = rows_source(spark, [(3, "a"), (1, None), (None, "b"), (1, "z")], "Is")
+    assert [tuple(r) for r in s.sort(rows).collect()] == [(1, "z"), (1, None), (3, "a"), (None, "b")]
+    assert [r.c0 for r in s.sort(rows, SortOptions(distinct=True), 1, False).collect()] == [None, 3, 1]
+    with pytest.raises(UniqueConstraintError):
+        s.sort(rows, SortOptions(unique=True), 1)
