@@ -123,12 +123,12 @@ def number_rows(df: DataFrame, start: int = 0, name: str = "_rid") -> DataFrame:
     return placed.join(F.broadcast(bases), "_part").select(*df.columns, (F.col("_base") + F.col("_place") + start).alias(name))
 
 
-def number_by_key(df: DataFrame, keys: Sequence[str], parts: int, name: str = "seq", start: int = 0) -> DataFrame:
+def number_by_key(df: DataFrame, keys: Sequence[str], parts: int, name: str = "seq", start: int = 0, ascending: bool | Sequence[bool] = True) -> DataFrame:
     """``df`` with gapless numbers from ``start`` in key order, without one task that sees all rows."""
-    spread = df.repartitionByRange(parts, *terms(keys)).sortWithinPartitions(*terms(keys)).withColumn("_part", F.spark_partition_id())
+    spread = df.repartitionByRange(parts, *terms(keys, ascending)).sortWithinPartitions(*terms(keys, ascending)).withColumn("_part", F.spark_partition_id())
     fixed = stage(spread)
     # the place in a range, and the base of the range
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*terms(keys))) - 1
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*terms(keys, ascending))) - 1
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     bases = fixed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return fixed.withColumn("_place", place).join(F.broadcast(bases), "_part").select(*df.columns, (F.col("_base") + F.col("_place") + start).cast("long").alias(name))
