@@ -32,6 +32,8 @@ def unpack(data: bytes) -> np.ndarray:
 
 def by_bucket(keys: np.ndarray, buckets: int, bits: int) -> Iterator[tuple[int, slice]]:
     """The buckets that ascending keys of ``bits`` bits fall in, and which of the keys do."""
+    if not len(keys):
+        return
     size = -(-(1 << bits) // buckets)
     of = keys // np.uint64(size)
     edges = np.flatnonzero(np.diff(of, prepend=np.uint64(buckets + 1)))
