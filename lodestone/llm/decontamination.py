@@ -78,9 +78,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcas
     return found.select("doc_id", "text_hash", "item_id", "at", F.size("window").alias("length")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, items array<string>) for each document; items are sorted as strings."""
-    found = occurrences(docs, benchmark, width)
+    found = occurrences(docs, benchmark, width, broadcast_bytes)
     places = found.select("doc_id", "text_hash", "item_id", F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("pos"))
     # two levels, so that no document gathers more than its distinct words and items
     by_word = places.groupBy("doc_id", "text_hash", "pos").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))

@@ -12,7 +12,8 @@ record that they refuse is neither unpacked nor decoded. Option ``payload=false`
 payloads undecoded altogether. Archives by others, where members hold no ``sl`` field or
 are not packed, are read as well.
 
-Defined cases: a null html counts as empty; a null url is written as none and read as null;
+Defined cases: a null html counts as empty; a null url is written as none and read as null,
+spaces and control characters of others are percent-encoded;
 rows with a null page_id revisit the largest page_id of their payload, or are responses if
 it has none; repeated rows get a record each, of the same type; an empty table makes
 archives without records.
@@ -137,15 +138,18 @@ class WarcReader(DataSourceReader):
         self.payload = str(options.get("payload", "true")).lower() != "false"
         self.size = int(options.get("partition_bytes", 32 << 20))
         self.wanted: dict[str, list[set]] = {}
+        self.present: set[str] = set()
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
             at = getattr(f, "attribute", ())
             if len(at) == 1 and at[0] in self.HEADER and isinstance(f, EqualTo | In | IsNotNull):
-                if not isinstance(f, IsNotNull):
+                if isinstance(f, IsNotNull):
+                    self.present.add(at[0])
+                else:
                     self.wanted.setdefault(at[0], []).append({f.value} if isinstance(f, EqualTo) else set(f.value))
-                    continue
-            yield f
+            else:
+                yield f
 
     def partitions(self) -> list[Files]:
         from pyarrow import fs
@@ -167,7 +171,7 @@ class WarcReader(DataSourceReader):
             with where.open_input_file(name) as f:
                 for head, rest in _records(f):
                     row = _fields(head)
-                    if row is None or any(row[k] not in v for k, sets in self.wanted.items() for v in sets):
+                    if row is None or any(row[k] is None for k in self.present) or any(row[k] not in v for k, sets in self.wanted.items() for v in sets):
                         continue
                     payload = None
                     if self.payload and row["record_type"] == "response":
