@@ -28,11 +28,27 @@ from lodestone.streaming.rows import RowStream
 BLOCK = 100  # numbers that a sequence, or a session for single rows, reserves at once
 
 
+_OPENED: dict[str, Database] = {}
+
+
+def database(spark: SparkSession, root: str) -> Database:
+    """The process's one database object for a folder."""
+    key = root.rstrip("/")
+    if key not in _OPENED or _OPENED[key].spark is not spark:
+        _OPENED[key] = Database(spark, root)
+    return _OPENED[key]
+
+
 class Database:
-    """A folder of versioned tables."""
+    """A folder of versioned tables.
+
+    Each of ``hooks`` is called after a commit for each table that it changed, with the table's
+    name, the ids of all rows touched, and the new rows.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store, self.started, self.sessions = spark, Store(spark, root), False, []
+        self.hooks: list[Callable[[str, DataFrame, DataFrame], None]] = []
 
     def exists(self) -> bool:
         return self.store.exists()
@@ -67,6 +83,7 @@ class Database:
     def destroy(self) -> None:
         self.stop()
         self.store.destroy()
+        _OPENED.pop(self.store.root, None)
 
     def create_session(self, serializable: bool = False) -> Session:
         if not self.started:
@@ -147,14 +164,14 @@ class Session:
 
     # sequences
 
-    def create_sequence(self, name: str) -> Sequence_:
+    def create_sequence(self, name: str) -> NumberSequence:
         def change(state: dict) -> None:
             if name in state["sequences"]:
                 raise EngineError(f"there is a sequence {name}")
             state["sequences"][name] = 0
 
         self.store.publish(change)
-        return Sequence_(self.store, name)
+        return NumberSequence(self.store, name)
 
     def drop_sequence(self, name: str) -> None:
         def change(state: dict) -> None:
@@ -163,8 +180,8 @@ class Session:
 
         self.store.publish(change)
 
-    def get_sequence(self, name: str) -> Sequence_ | None:
-        return Sequence_(self.store, name) if name in self.store.state()["sequences"] else None
+    def get_sequence(self, name: str) -> NumberSequence | None:
+        return NumberSequence(self.store, name) if name in self.store.state()["sequences"] else None
 
     # queries
 
@@ -194,17 +211,16 @@ class Session:
             return
         prepared = {}
         for name, c in work.items():
-            old = self.store.read(base, name)
-            new = stage(self.read(name))
+            new = self.read(name)
             touched = None
             for kind, what in c.steps:
                 ids = what.select(RID) if isinstance(what, DataFrame) else self.spark.createDataFrame([(r[0],) for r in what], f"{RID} long")
                 touched = ids if touched is None else touched.union(ids)
             touched = stage(touched.distinct())
-            prepared[name] = (touched, stage(new.join(touched, RID, "left_semi")), stage(old.select(RID).join(touched, RID, "left_semi")))
+            prepared[name] = (touched, stage(new.join(touched, RID, "left_semi")))
 
         def change(state: dict) -> None:
-            for name, (touched, rows, known) in prepared.items():
+            for name, (touched, rows) in prepared.items():
                 table = self.store.table_state(state, name)
                 since = set(table["files"] + table["removed"]) - {x for t in [base["tables"][name]] for x in t["files"] + t["removed"]}
                 if since:
@@ -225,6 +241,9 @@ class Session:
             self.store.publish(change)
         finally:
             self._begin()
+        for hook in self.db.hooks:
+            for name, (touched, rows) in prepared.items():
+                hook(name, touched, rows)
 
     def _check_keys(self, state: dict, name: str, touched: DataFrame, rows: DataFrame) -> None:
         for key in self.store.table_state(state, name)["keys"]:
@@ -468,7 +487,7 @@ class Cursor:
         return self.stream.df
 
 
-class Sequence_:
+class NumberSequence:
     """Unique numbers from 0. Each handle reserves a block by a commit of its own; what it does not use is lost."""
 
     def __init__(self, store: Store, name: str):

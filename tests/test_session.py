@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import EngineError, RowNotFound, SerializationConflict, TypeMismatchError, UniqueConstraintError
 from lodestone.operators.relational import SortOptions
-from lodestone.plans.session import Database
+from lodestone.plans.session import Database, database
 from lodestone.sources.memory import rows_source
 
 
@@ -266,3 +266,28 @@ def test_session_sort(db, spark):
     assert [r.c0 for r in s.sort(rows, SortOptions(distinct=True), 1, False).collect()] == [None, 3, 1]
     with pytest.raises(UniqueConstraintError):
         s.sort(rows, SortOptions(unique=True), 1)
+
+
+def test_registry_and_hooks(spark, tmp_path):
+    root = f"file://{tmp_path}/r"
+    base = database(spark, root)
+    assert base is database(spark, root + "/") and not base.exists()
+    with pytest.raises(EngineError):
+        base.start()
+    base.create()
+    with pytest.raises(EngineError):
+        base.create()
+    told = []
+    base.hooks.append(lambda name, touched, rows: told.append((name, touched.count(), rows.count())))
+    s = base.create_session()
+    t = s.create_table("t", "I")
+    rid = t.insert((1,))
+    t.insert((2,))
+    s.commit()
+    t.remove(rid)
+    s.commit()
+    assert told == [("t", 2, 2), ("t", 1, 0)] and base.in_use()
+    base.replace()
+    assert base.create_session().get_table("t") is None
+    base.destroy()
+    assert not base.exists() and database(spark, root) is not base
