@@ -94,4 +94,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lodestone.llm.oracle import SQL
+
+    return dict(SQL)
