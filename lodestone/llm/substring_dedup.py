@@ -96,7 +96,7 @@ def removed_passages(docs: DataFrame, width: int = 20) -> DataFrame:
     if width < 2 * ANCHOR - 1:
         raise ValueError(f"a window of {width} words may hold no whole block of {ANCHOR}")
     parts = partitions(docs.sparkSession)
-    chunks = 3 * parts
+    chunks = 2 * parts  # a few for each task, so that tasks are alike though chunks are hashed to them
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select(chunk, "doc_id", "text").repartition(parts, "chunk")
 
