@@ -4,7 +4,7 @@ Every document is cut into blocks of ``ANCHOR`` words that do not overlap: these
 index. Every run of ``ANCHOR`` words, at each position, probes it. A repeat of at least
 ``2 * ANCHOR - 1`` words holds a whole block of its earlier place, so a run that is found
 there again; no other words can be part of a repeat. Around each hit the match is extended:
-all windows of ``width`` words that contain the hit are compared, by 128-bit hashes, with
+all windows of ``width`` words that contain the hit are compared, by 96-bit hashes, with
 those around all other hits, and of equal windows the first keeps its words. Neighbouring
 windows that are repeated together make the maximal repeat.
 
@@ -45,6 +45,11 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte of all of them: bytes that seldom differ stand together and are packed by the shuffle."""
+    return np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
 class Chunk:
     """A chunk's documents in order, their words, and which anchors are valid."""
 
@@ -77,7 +82,7 @@ class Chunk:
         hit = contains(hits, self.keys) & self.valid
         sums = np.concatenate([[0], np.cumsum(hit)])
         one, valid = self.words.grams(width)
-        two, _ = self.words.grams(width, 24)
+        two = (self.words.grams(width, 24)[0] >> np.uint64(32)).astype(np.uint32)
         at = np.flatnonzero(valid)
         at = at[sums[at + width - ANCHOR + 1] > sums[at]]
         at = at[np.lexsort((two[at], one[at]))]
@@ -139,7 +144,7 @@ def removed_passages(docs: DataFrame, width: int = 20) -> DataFrame:
         number = left.column("chunk")[0].as_py()
         for b, s in by_bucket(one, parts, 64):
             head = pack(one[s])
-            rows.append((b, number, len(head).to_bytes(4, "little") + head + two[s].tobytes() + own.order[own.doc[at[s]]].tobytes()))
+            rows.append((b, number, len(head).to_bytes(4, "little") + head + two[s].tobytes() + _planes(own.order[own.doc[at[s]]])))
         return _rows(SENT, rows)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -150,8 +155,8 @@ def removed_passages(docs: DataFrame, width: int = 20) -> DataFrame:
             cut = 4 + int.from_bytes(d[:4], "little")
             ones.append(unpack(d[4:cut]))
             n = len(ones[-1])
-            twos.append(np.frombuffer(d, np.uint64, n, cut))
-            docs_of.append(np.frombuffer(d, np.int64, n, cut + 8 * n))
+            twos.append(np.frombuffer(d, np.uint32, n, cut))
+            docs_of.append(np.frombuffer(d, np.uint8, 8 * n, cut + 4 * n).reshape(8, n).T.copy().view(np.int64).ravel())
             sizes.append(n)
         one, two, doc = map(np.concatenate, (ones, twos, docs_of))
         owner = np.repeat(np.arange(len(of)), sizes)
@@ -179,11 +184,11 @@ def removed_passages(docs: DataFrame, width: int = 20) -> DataFrame:
         hits = gathered(told(right, 0))
         if len(hits):
             at, one, two, first = own.windows(hits, width)
-            ones, twos = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            ones, twos = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
             for d in told(right, 1):
                 cut = 4 + int.from_bytes(d[:4], "little")
                 ones.append(unpack(d[4:cut]))
-                twos.append(np.frombuffer(d, np.uint64, -1, cut))
+                twos.append(np.frombuffer(d, np.uint32, -1, cut))
             later_one, later_two = np.concatenate(ones), np.concatenate(twos)
             order = np.lexsort((later_two, later_one))
             later_one, later_two = later_one[order], later_two[order]
