@@ -18,7 +18,9 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +28,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.bpe import byte_alphabet
 from lodestone.llm.common import partitions, shared_dir, staged
 
 MANIFEST = "part int, path string, width int, n_docs long, n_ids long"
 
 
+class _Pieces(dict):
+    """The ids of pieces after a space; None for one that may not be encoded alone."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes | None:
+        enc = self.encoder
+        ids = self[piece] = enc.piece(" " + piece) if piece and enc.CUT.match(f" {piece[0]}") else None
+        return ids
+
+
 class Encoder:
     """Encodes texts as the tokenizers library does, remembering pieces between spaces.
 
     The byte-level pattern always starts a new token at a space that a visible character
     follows, so a text may be cut there and each piece encoded alone. Texts where a piece
     starts otherwise are cut by a pattern, and texts that name an added token go whole.
-    ``max_pieces`` bounds the memory of each of the two stores.
+    ``max_pieces`` bounds the memory of each of the two stores (beyond it by a text's pieces).
     """
 
     #: A space before a character that every definition counts as visible.
@@ -45,7 +61,7 @@ class Encoder:
     #: Runs that start and end where the byte-level pattern does, in pieces made of nothing else.
     PLAIN = re.compile("(?: ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,!?;:]+|\n(?=[A-Za-zÀ-ÖØ-öø-ÿ]))")
 
-    def __init__(self, path: str, max_pieces: int = 250_000):
+    def __init__(self, path: str, max_pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -53,9 +69,12 @@ class Encoder:
         tok.no_padding()
         self.tok, self.added = tok, [t.content for t in tok.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces: dict[str, bytes | None] = {}
+        self.pieces = _Pieces(self)
         self.words: dict[str, bytes] = {}
         self.max_pieces = max_pieces
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        # the model alone encodes a word, once its bytes have been written as the byte-level alphabet does
+        self.shown = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -65,7 +84,8 @@ class Encoder:
         if got is None:
             if len(self.words) >= self.max_pieces:
                 self.words.clear()
-            got = self.words[text] = self.whole(text)
+            mapped = text.encode().decode("latin-1").translate(self.shown)
+            got = self.words[text] = array(self.code, [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
         return got
 
     def piece(self, text: str) -> bytes:
@@ -77,23 +97,20 @@ class Encoder:
         if any(a in text for a in self.added):
             return self.whole(text)
         first, *rest = text.split(" ")
-        known = self.pieces
-        try:
-            got = [known[p] for p in rest]
-        except KeyError:
-            got = []
-            for p in rest:
-                ids = known.get(p, self)
-                if ids is self:
-                    if len(known) >= self.max_pieces:
-                        known.clear()
-                    ids = known[p] = self.piece(" " + p) if p and self.CUT.match(f" {p[0]}") else None
-                got.append(ids)
+        if len(self.pieces) >= self.max_pieces:
+            self.pieces.clear()
+        got = list(map(self.pieces.__getitem__, rest))
         if None in got:
             return b"".join(self.piece(p if not i else " " + p) for i, p in enumerate(self.CUT.split(text)))
         return (self.piece(first) if first else b"") + b"".join(got)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which runs many tasks."""
+    return Encoder(path)
+
+
 def _open_out(path: str):
     from pyarrow import fs
 
@@ -128,7 +145,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        enc = Encoder(tokenizer_path)
+        enc = encoder(tokenizer_path)
         end = np.asarray([end_id], enc.dtype).tobytes()
         part = TaskContext.get().partitionId()
         path = f"{out}/part-{part:06d}-{uuid.uuid4().hex}"
