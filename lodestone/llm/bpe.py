@@ -20,7 +20,9 @@ import codecs
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -72,7 +74,7 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length) -> int:
 class BpeTransducer:
     """Encoder and decoder for a tokenizers JSON file with a BPE model and a splitting pattern."""
 
-    def __init__(self, path: str, max_words: int = 200_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -95,6 +97,8 @@ class BpeTransducer:
         self.lookahead = sufficient_lookahead(merges, self.length)
         self.buffer = self.lookahead + max(256, 2 * self.longest)
         self.bytes = byte_alphabet()
+        self.shown = str.maketrans({chr(b): c for b, c in enumerate(self.bytes)})
+        self.one_word = "[\\p{L}]+" in self.words.pattern.split("|")  # a run of letters is one word
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
@@ -105,26 +109,27 @@ class BpeTransducer:
     def length(self, token: str) -> int:
         return len(token) - len(self.end) * bool(self.end and token.endswith(self.end))
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """The tokens of some symbols: the earliest merge that applies is done everywhere, again and again."""
-        rank = self.rank.__getitem__
-        while len(parts) > 1:
-            ranks = list(map(rank, zip(parts, parts[1:])))
-            if (low := min(ranks)) == ABSENT:
-                break
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if i < n - 1 and ranks[i] == low:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+    def merged(self, symbols: Iterable[str]) -> list[str]:
+        """The tokens of some symbols: the earliest merge that applies is done at its first place, again and again."""
+        rank, parts = self.rank.__getitem__, list(symbols)
+        ranks = list(map(rank, zip(parts, parts[1:])))
+        while ranks and (low := min(ranks)) != ABSENT:
+            i = ranks.index(low)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]))
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]))
         return parts
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
+    def stream(self, symbols: Iterable[str]) -> Iterable[str]:
         """The tokens of one word, each as soon as it is stable."""
+        if isinstance(symbols, list) and len(symbols) < self.buffer:
+            return self.merged(symbols)
+        return self._stream(symbols)
+
+    def _stream(self, symbols: Iterable[str]) -> Iterator[str]:
         held: list[str] = []
         for s in symbols:
             held.append(s)
@@ -139,15 +144,15 @@ class BpeTransducer:
                 del held[:done]
         yield from self.merged(held)
 
-    def symbols(self, word: str) -> Iterator[str]:
-        data, to = word.encode(), self.bytes
-        yield from (to[b] for b in data[:-1])
-        yield to[data[-1]] + self.end
+    def symbols(self, word: str) -> list[str]:
+        shown = list(word.encode().decode("latin-1").translate(self.shown))
+        shown[-1] += self.end
+        return shown
 
     def word(self, word: str) -> bytes:
         got = self.known_words.get(word)
         if got is None:
-            got = np.fromiter((self.vocab[t] for t in self.stream(self.symbols(word))), "<i4").tobytes()
+            got = array("i", map(self.vocab.__getitem__, self.stream(self.symbols(word)))).tobytes()
             if len(word) < 256:
                 if len(self.known_words) >= self.max_words:
                     self.known_words.clear()
@@ -156,11 +161,13 @@ class BpeTransducer:
 
     def piece(self, piece: str) -> bytes:
         """The ids of text without white space or added tokens."""
+        if piece.isascii() and piece.isalpha() and self.one_word:
+            return self.word(piece.lower() if self.lower else piece)
         if self.nfc:
             piece = unicodedata.normalize("NFC", piece)
         if self.lower:  # each character for itself, so a final sigma is like any other
             piece = "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()
-        return b"".join(self.word(m.group()) for m in self.words.finditer(piece))
+        return b"".join(map(self.word, self.words.findall(piece)))
 
     def _section(self, text: str) -> Iterator[bytes]:
         known = self.known_pieces
@@ -185,6 +192,12 @@ class BpeTransducer:
         return Decoder(self)
 
 
+@lru_cache(maxsize=2)
+def transducer(path: str) -> BpeTransducer:
+    """One for each Python worker, which runs many tasks."""
+    return BpeTransducer(path)
+
+
 class Decoder:
     """Takes ids one by one (or in runs) and returns the text that they complete."""
 
@@ -216,7 +229,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Rows (doc_id, ids array<int>) of ``docs(doc_id, text)``."""
 
     def run(batches):
-        bpe = BpeTransducer(tokenizer_path)
+        bpe = transducer(tokenizer_path)
         for b in _pieces(batches):
             runs = [bpe.encode(t.as_py() or "") for t in b.column(1)]
             ends = np.cumsum([0, *(len(r) // 4 for r in runs)], dtype=np.int32)
@@ -231,7 +244,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     kept = [c for c in encoded.columns if c not in ("ids", "text")]
 
     def run(batches):
-        bpe = BpeTransducer(tokenizer_path)
+        bpe = transducer(tokenizer_path)
         for b in _pieces(batches):
             lists = b.column(len(kept))
             values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(pc.list_value_length(lists).fill_null(0))
