@@ -218,6 +218,12 @@ class Pseudonyms:
 KEY = b"lodestone-example-key"
 
 
+@lru_cache(maxsize=2)
+def pseudonyms(key: bytes) -> Pseudonyms:
+    """One for each Python worker, which runs many tasks."""
+    return Pseudonyms(key)
+
+
 def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; one more column n_pii long counts the replacements.
 
@@ -229,7 +235,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields) + ", n_pii long"
 
     def run(batches: Iterator[pa.RecordBatch]):
-        hide = Pseudonyms(key)
+        hide = pseudonyms(key)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
