@@ -76,14 +76,13 @@ class Chunk:
         self.ids = table.column("doc_id")
         words = split_words(texts, lower=True)
         runs, _ = words.grams(width)
-        whole = {k: words.grams(k, 8 * k)[0] for k in range(1, width)}
         self.sets, self.names = [], []
         for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
             if b - a >= width:
                 s = np.sort(runs[a : b - width + 1])
                 s = s[np.concatenate([[True], s[1:] != s[:-1]])]
             else:
-                s = whole[b - a][a : a + 1] if b > a else runs[:0]
+                s = words.run(a, b - a, 8 * (b - a)) if b > a else runs[:0]
             self.sets.append(s)
             self.names.append((len(s), int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64))))
         seen: set = set()

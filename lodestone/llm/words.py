@@ -31,10 +31,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some documents, one after another: hashes, byte places, and where each document begins."""
+    """The words of some documents, one after another: their hashes, and where each document begins."""
 
-    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
-        self.hashes, self.starts, self.ends, self.first = hashes, starts, ends, first
+    def __init__(self, hashes: np.ndarray, first: np.ndarray):
+        self.hashes, self.first = hashes, first
+
+    def run(self, at: int, n: int, seed: int = 0) -> np.ndarray:
+        """The hash of the run of ``n`` words that starts at ``at``, alone."""
+        h = sum((self.hashes[at + j : at + j + 1] * FACTORS[(j + seed) % len(FACTORS)] for j in range(n)), np.zeros(1, np.uint64))
+        return mix(h)
 
     def grams(self, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(hash, valid) of the run of ``n`` words that starts at each word; runs over a document's end aren't valid."""
@@ -71,7 +76,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
     table = BYTE_LOW if lower else BYTE
-    hashes, starts, ends = [], [], []
+    hashes, starts = [], []
     for at, to in _segments(data, bounds):
         part = data[at:to]
         visible = ~BREAKS[part]
@@ -88,7 +93,5 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
         np.cumsum(table[part] * power[: len(part)], out=sums[1:])
         hashes.append(mix((sums[stop] - sums[begin]) * back[begin] + (stop - begin).astype(np.uint64)))
         starts.append(begin + at)
-        ends.append(stop + at)
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    starts, ends = join(starts, np.int64), join(ends, np.int64)
-    return Words(join(hashes, np.uint64), starts, ends, np.searchsorted(starts, bounds))
+    return Words(join(hashes, np.uint64), np.searchsorted(join(starts, np.int64), bounds))
