@@ -19,7 +19,9 @@ repeated rows give repeated results; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -113,22 +115,111 @@ def fingerprints(docs: DataFrame, samples: int = 128) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.75, band: int = 4, samples: int = 128) -> DataFrame:
+def near_pairs(a: np.ndarray, b: np.ndarray, need: int) -> np.ndarray:
+    """Which rows of ``a`` agree with which rows of ``b`` in at least ``need`` samples."""
+    if len(a) * len(b) <= 2048:
+        return (a[:, None] == b[None]).sum(2) >= need
+    counts = np.zeros((len(a), len(b)), np.uint16)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        counts += x[:, None] == y
+    return counts >= need
+
+
+def joining_pairs(nodes: np.ndarray, classes: np.ndarray, prints: np.ndarray, left: np.ndarray, right: np.ndarray, need: int, step: int = 256) -> list[tuple[int, int]]:
+    """Pairs of a left and a right row that are near, enough of them to join all classes that any near pair joins."""
+    _, of = np.unique(classes, return_inverse=True)
+    pairs = []
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        near = near_pairs(prints[some], prints[right], need)
+        for k in np.flatnonzero(near.any(1)).tolist():
+            i, found = some[k], right[near[k]]
+            found = found[of[found] != of[i]]
+            for c, n in zip(*np.unique(of[found], return_index=True), strict=True):
+                pairs.append((int(nodes[i]), int(nodes[found[n]])))
+                of[of == c] = of[i]
+    return pairs
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.75, band: int = 4, samples: int = 128, block: int = 1000) -> DataFrame:
     """Rows (doc_id, component): documents whose fingerprints agree in a share ``least`` of samples.
 
-    Equal fingerprints are one class. Classes that agree in a whole band of ``band`` samples
-    are compared with the band's smallest class, so a band of any size makes no more pairs
-    than members, and each pair is verified on the full fingerprints.
+    Equal fingerprints are one class. Samples are dealt into more bands, of at most ``band``
+    samples, than two classes that link may differ in, so two such classes agree in a whole
+    band and no link is missed. First each class of a band is compared with the band's
+    smallest; then all classes of a band that are not in one component yet, ``block`` against
+    ``block``, so that a task holds two blocks whatever the band's size. Each pair is
+    verified on the full fingerprints.
     """
+    need = math.ceil(least * samples - 1e-9)
+    parts = partitions(docs.sparkSession)
+    n_bands = max(-(-samples // band), samples - need + 1) if need > 0 else 1
+    edges = [samples * i // n_bands for i in range(n_bands + 1)] if need > 0 else [0, 0]
     prints = staged(fingerprints(docs, samples).where("doc_id is not null"))
-    heads = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head"))
-    bands = heads.select("head", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(samples // band - 1)), lambda i: F.substring("fingerprint", i * 2 * band + 1, F.lit(2 * band)))).alias("band", "key"))
-    firsts = bands.groupBy("band", "key").agg(F.min("head").alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = bands.join(firsts, ["band", "key"]).where("head > first").select("head", "first").distinct()
+    heads = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head")))
+    keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("fingerprint", 2 * a + 1, 2 * (b - a))) for i, (a, b) in enumerate(pairwise(edges))))).alias("key")
+    bands = heads.select("head", keys)
+    firsts = bands.groupBy("key").agg(F.min("head").alias("first"), F.count("*").alias("n")).where("n > 1")
+    pairs = bands.join(firsts, "key").where("head > first").select("head", "first").distinct()
     one, two = heads.alias("one"), heads.alias("two")
     same = sum((F.substring("one.fingerprint", F.lit(2 * i + 1), F.lit(2)) == F.substring("two.fingerprint", F.lit(2 * i + 1), F.lit(2))).cast("int") for i in range(samples))
-    links = pairs.join(one, F.col("one.head") == pairs["head"]).join(two, F.col("two.head") == pairs["first"]).where(same >= F.lit(least * samples)).select(pairs["head"].alias("a"), pairs["first"].alias("b"))
-    found = components(links)
+    links = staged(pairs.join(one, F.col("one.head") == pairs["head"]).join(two, F.col("two.head") == pairs["first"]).where(same >= F.lit(need)).select(pairs["head"].alias("a"), pairs["first"].alias("b")))
+
+    # bands that hold several components: those with more members than a block get blocks of their own, the others share blocks
+    found = components(links).select(F.col("node").alias("head"), F.col("component").alias("class"))
+    classed = staged(heads.join(found, "head", "left").select("head", F.coalesce("class", "head").alias("class"), "fingerprint"))
+    banded = classed.select("head", "class", F.unhex("fingerprint").alias("print"), keys)
+    counted = banded.groupBy("key", "class").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    mixed = counted.groupBy("key").agg(F.count("*").alias("classes"), F.ceil(F.sum(F.when(F.col("n") <= block, F.col("n")).otherwise(0)) / block).cast("int").alias("shared"), F.sum(F.when(F.col("n") > block, blocks).otherwise(0)).cast("int").alias("single")).where("classes > 1")
+    before = F.sum("own").over(Window.partitionBy("key").orderBy("class")) - F.col("own")
+    large = counted.where(F.col("n") > block).select("key", "class", blocks.alias("own")).withColumn("before", before.cast("int"))
+    placed = banded.join(mixed, "key").join(large, ["key", "class"], "left")
+    number = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("head"), F.col("shared"))).otherwise(F.col("shared") + F.col("before") + F.pmod(F.xxhash64("head"), F.col("own"))).cast("int")
+    placed = placed.withColumn("block", number).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shared") + F.col("single") - 1)))
+    first = F.col("shared") + F.col("before")
+    met = placed.where(F.col("own").isNull() | (F.col("other") < first) | (F.col("other") >= first + F.col("own")))
+    task = ["key", "low", "high"]
+    met = met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "head", "class", "print")
+
+    def compare(batches: Iterator[pa.RecordBatch]):
+        """Rows come sorted by task; a task is compared when the next one begins."""
+
+        def pairs_of(table: pa.Table) -> list[tuple[int, int]]:
+            key, low, high, own, head, kind = (table.column(i).to_numpy() for i in range(6))
+            values = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, samples)
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)]))
+            rows = []
+            for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
+                at = np.arange(a, b) - a
+                left, right = (at, at) if low[a] == high[a] else (at[own[a:b] == low[a]], at[own[a:b] == high[a]])
+                if b - a > 1:
+                    rows += joining_pairs(head[a:b], kind[a:b], values[a:b], left, right, need)
+            return rows
+
+        def made(table: pa.Table) -> pa.RecordBatch:
+            rows = pairs_of(table)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            name = [b.column(i).to_numpy() for i in range(3)]
+            new = [n[0] for n in name] != [held[-1].column(i)[-1].as_py() for i in range(3)] if held else False
+            if new:
+                yield made(pa.Table.from_batches(held))
+                held = []
+            last = int(np.flatnonzero(np.logical_or.reduce([n != n[-1] for n in name]))[-1]) + 1 if any((n != n[-1]).any() for n in name) else 0
+            if last:
+                yield made(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    rest = met.repartition(parts, *task).sortWithinPartitions(*task).mapInArrow(compare, "a long, b long")
+    found = components(links.union(rest))
     members = prints.join(heads, "fingerprint").select("doc_id", "head")
     return members.join(found, F.col("head") == F.col("node"), "left").select("doc_id", F.coalesce("component", "head").alias("component"))
 

@@ -57,3 +57,22 @@ def test_near_duplicates(docs, rows, make):
     assert {r.doc_id: r.component for r in near_duplicates(make(near)).collect()} == {**{i: 0 for i in range(20)}, 50: 50}
     prints = fingerprints(make([(1, "same"), (2, "same"), (3, None)])).collect()
     assert len({r.fingerprint for r in prints if r.doc_id < 3}) == 1
+
+
+def test_near_copies_behind_unrelated_smaller_ones(make):
+    """Texts of two letters share bands by chance, so each band of the two near copies has a smaller unrelated member."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("ab", k=n))
+    base = text(3000)
+    rows = [(i, text(1000)) for i in range(300)] + [(1000, base), (1001, base[:-9] + "bababbaab")]
+    walk = Walk()
+    prints = [(i, walk.start().feed(t)) for i, t in rows]
+    top = {i: i for i, _ in rows}
+    for n, (i, a) in enumerate(prints):
+        for j, b in prints[:n]:
+            if a.likeness(b) >= 0.75:
+                old, new = max(top[i], top[j]), min(top[i], top[j])
+                top = {k: new if v == old else v for k, v in top.items()}
+    assert top[1001] == 1000
+    for sizes in ({}, {"block": 40}):
+        assert {r.doc_id: r.component for r in near_duplicates(make(rows), **sizes).collect()} == top
