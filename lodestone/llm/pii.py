@@ -12,6 +12,9 @@ A network works on numbers below a bound: halves of a power of two are mixed by
 BLAKE2 rounds and values that fall beyond the bound walk on along their cycle, so each
 format's set of valid values maps onto itself one to one.
 
+A run of digit groups may hold a card beside other numbers (a security code, an expiry
+date): if the run as a whole fails the check, its parts between separators are tried.
+
 Defined cases: a null text stays null; a text without findings is returned as it is, byte
 for byte; repeated rows are treated alike; an empty table gives no rows; all columns but
 text are kept as they are.
@@ -19,11 +22,14 @@ text are kept as they are.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import ipaddress
 import re
 import string
+import sys
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -76,6 +82,18 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+class _Beyond:
+    """Stands for a match behind the end of every text."""
+
+    def start(self) -> int:
+        return sys.maxsize
+
+    end = start
+
+
+_NONE = _Beyond()
+
+
 class Pseudonyms:
     """Finds personal data in texts and replaces it under one key."""
 
@@ -86,10 +104,14 @@ class Pseudonyms:
         |(?<![\w+-])(?P<phone>\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){3,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])
         |(?<![\w+.-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
         |(?<![\w+.-])(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)
-        |(?<![\w+.-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])
+        |(?<![\w+.-])(?P<card>\d(?:[ -]?\d){12,})(?![\w-])
         |(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?!\w)""",
         re.X,
     )
+    #: The same without cards, to look for other kinds where a run of digits is none.
+    OTHER = re.compile(re.sub(r"\|.*\(\?P<card>.*\n", "", PATTERN.pattern), re.X)
+    #: How the digits of most cards are grouped.
+    GROUPED = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,4})?|\d{4}[ -]\d{6}[ -]\d{4,5}")
     #: Every finding has one of these, so most texts need one look.
     HINT = re.compile(r"@|\d[\d./ ()-]{4,}\d|\d{4}")
 
@@ -203,16 +225,69 @@ class Pseudonyms:
     def _value(self, kind: str, text: str) -> str | None:
         return getattr(self, kind)(text)
 
-    def _replace(self, m: re.Match, note: Callable[[str], None] | None = None) -> str:
-        new = self.value(m.lastgroup, m.group())
-        if new is None:
-            return m.group()
-        if note:
-            note(m.lastgroup)
-        return new
+    def cards(self, run: str) -> list[tuple[int, int]]:
+        """Where the valid cards are in a run of digits with single blanks or dashes, which may hold other numbers too.
+
+        A card begins and ends at separators or the run's ends. Where valid ones overlap, the
+        whole run goes first, then the usual groupings, then the longer one, then the earlier.
+        """
+        parts = [m.span() for m in re.finditer(r"\d+", run)]
+        found = []
+        for i, (a, _) in enumerate(parts):
+            n = 0
+            for x, b in parts[i:]:
+                n += b - x
+                if n > 19:
+                    break
+                if n >= 13 and self.card(run[a:b]) is not None:
+                    found.append((b - a < len(run), not self.GROUPED.fullmatch(run, a, b), -n, a, b))
+        taken: list[tuple[int, int]] = []
+        for *_, a, b in sorted(found):
+            at = bisect.bisect(taken, (a, b))
+            if (not at or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                taken.insert(at, (a, b))
+        return taken
+
+    def found(self, text: str) -> Iterator[tuple[str, int, int]]:
+        """What may be personal data in ``text``, in order: kind, start and end."""
+        at = known = 0  # cards that begin before `known` have been found
+        cards: deque[tuple[int, int]] = deque()
+        m = other = None
+        while True:
+            if at < known:
+                if other is None or other.start() < at:
+                    other = self.OTHER.search(text, at) or _NONE
+                if cards and cards[0][0] < at:
+                    cards.popleft()
+                elif cards and other.end() > cards[0][0]:
+                    a, at = cards.popleft()
+                    yield "card", a, at
+                elif other.start() < known:
+                    at = other.end()
+                    yield other.lastgroup, *other.span()
+                else:
+                    at = known
+                continue
+            if (m := self.PATTERN.search(text, at)) is None:
+                return
+            if m.lastgroup == "card":
+                cards.extend((m.start() + a, m.start() + b) for a, b in self.cards(m.group()))
+                at, known = m.span()
+            else:
+                at = m.end()
+                yield m.lastgroup, *m.span()
 
     def apply(self, text: str, note: Callable[[str], None] | None = None) -> str:
-        return self.PATTERN.sub(lambda m: self._replace(m, note), text) if self.HINT.search(text) else text
+        if not self.HINT.search(text):
+            return text
+        out, at = [], 0
+        for kind, a, b in self.found(text):
+            if (new := self.value(kind, text[a:b])) is not None:
+                out += text[at:a], new
+                at = b
+                if note:
+                    note(kind)
+        return "".join([*out, text[at:]])
 
 
 KEY = b"lodestone-example-key"

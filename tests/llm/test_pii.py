@@ -35,6 +35,18 @@ def test_values_keep_their_format():
         assert p.apply(f"see {v} please") == f"see {v} please", v
 
 
+def test_cards_beside_other_digits():
+    p = Pseudonyms(KEY)
+    for card in ("4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005"):
+        new = p.apply(card)
+        assert new != card
+        for before, after in (("", " 123"), ("", " 12/29"), ("12 ", ""), ("123 ", " 9"), ("1234 5678 ", " 9012 3456 7890"), ("", "-123"), ("77-", ""), ("", f" {card}")):
+            assert p.apply(f"pay {before}{card}{after} now") == f"pay {before}{new}{after.replace(card, new)} now", (before, card, after)
+    for v in ("10.2.33.255", "555-123-4567"):
+        assert p.apply(f"1234 5678 1234 567 {v}") == f"1234 5678 1234 567 {p.apply(v)}"
+        assert p.apply(f"12 {v} 4111 1111 1111 1111 {v}") == f"12 {p.apply(v)} {p.apply('4111 1111 1111 1111')} {p.apply(v)}"
+
+
 def test_distinct_values_stay_distinct():
     rng, p = random.Random(1), Pseudonyms(KEY)
     dates = {f"{rng.randint(1900, 1999)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}" for _ in range(500)}
