@@ -149,8 +149,11 @@ class Index:
         return ids[keep], counts[keep]
 
 
-def spanning_links(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], classes: np.ndarray, query: np.ndarray, indexed: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between queries and indexed sets, enough of them to join all classes that any link joins."""
+def spanning_links(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], classes: np.ndarray, outside: np.ndarray, upper: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join all classes that any link with a set ``outside`` joins.
+
+    Where some sets are of the ``upper`` block, only links between the two blocks count.
+    """
     top = dict(zip(classes.tolist(), classes.tolist(), strict=True))
 
     def find(c: int) -> int:
@@ -159,13 +162,15 @@ def spanning_links(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray],
             c = top[c]
         return c
 
-    held = np.flatnonzero(indexed)
+    two = upper.any()
+    held = np.flatnonzero(upper) if two else np.arange(len(nodes))
     index = Index([np.sort(sets[i]) for i in held], sizes[held])
-    of = classes[held].copy()
+    of, others = classes[held].copy(), outside[held]
     links = []
-    for q in np.flatnonzero(query).tolist():
+    for q in np.flatnonzero(~upper if two else outside).tolist():
         own = find(int(classes[q]))
-        ids, _ = index.search(np.sort(sets[q]), int(sizes[q]), percent, of != own)
+        wanted = of != own
+        ids, _ = index.search(np.sort(sets[q]), int(sizes[q]), percent, wanted if outside[q] else wanted & others)
         for i in ids.tolist():
             other = find(int(of[i]))
             if other != own:
@@ -242,14 +247,28 @@ def shingle_sets(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
 
 
 def _searched(frame: DataFrame, percent: int) -> DataFrame:
-    """Links found in each (grp, block) of ``frame(grp, block, node, n, tokens, class, query, indexed)``."""
+    """Links found in each (grp, low, high) of ``frame(grp, low, high, node, n, tokens, class, outside, upper)``."""
 
     def search(table: pa.Table) -> pa.Table:
         plain = lambda name: table.column(name).to_numpy()
         sets = [np.asarray(t.values) for t in table.column("tokens")]
-        return _table(LINKS, spanning_links(plain("node"), plain("n"), sets, plain("class"), plain("query"), plain("indexed"), percent))
+        return _table(LINKS, spanning_links(plain("node"), plain("n"), sets, plain("class"), plain("outside"), plain("upper"), percent))
+
+    return frame.groupBy("grp", "low", "high").applyInArrow(search, "a long, b long")
 
-    return frame.groupBy("grp", "block").applyInArrow(search, "a long, b long")
+
+def block_pairs(known: DataFrame, posted: DataFrame) -> DataFrame:
+    """Rows (grp, low, high, node, n, tokens, class, outside, upper): the sets that each pair of blocks needs.
+
+    A set goes to the pair of its own block with each block that has a set with the same
+    posted token, if one of the two is outside; linked sets share a posted token.
+    """
+    where = known.select("node", "block", "outside").distinct()
+    at = staged(posted.join(where, "node").select("token", "node", "block", "outside"))
+    reached = at.groupBy("token", F.col("block").alias("other")).agg(F.max("outside").alias("any"))
+    pairs = at.join(reached, "token").where(F.col("outside") | F.col("any")).select("node", "other").distinct()
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    return known.join(pairs, "node").select("grp", low, high, "node", "n", "tokens", "class", "outside", (F.col("block") > F.col("other")).alias("upper"))
 
 
 def similar(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 1000) -> DataFrame:
@@ -273,10 +292,10 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 100
     sized = grouped.join(grouped.groupBy("grp").agg(F.count("*").alias("members")), "grp")
     members = staged(sets.join(sized, "node"))
     small, large = members.where(F.col("members") <= block), members.where(F.col("members") > block)
-    whole = small.select("grp", F.lit(0).alias("block"), "node", "n", "tokens", F.col("node").alias("class"), F.lit(True).alias("query"), F.lit(True).alias("indexed"))
+    whole = small.select("grp", F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "n", "tokens", F.col("node").alias("class"), F.lit(True).alias("outside"), F.lit(False).alias("upper"))
     links = [staged(_searched(whole, percent))]
 
-    # large groups: one comparison for each set, then a search for the sets outside the largest class
+    # large groups: one comparison for each set, then a search by pairs of blocks for the sets outside the largest class
     order = Window.partitionBy("node").orderBy(F.desc("shared"), "head")
     best = shares.join(large.select("node").distinct(), "node").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("node", "head")
     left, right = large.select("node", "n", "tokens"), large.select(F.col("node").alias("head"), F.col("n").alias("m"), F.col("tokens").alias("others"))
@@ -287,12 +306,9 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 100
         classes = components(verified).withColumnRenamed("component", "class")
         known = large.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
         largest = known.groupBy("grp", "class").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
-        known = staged(known.join(largest, "grp").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")))
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        outside = F.col("class") != F.col("main")
-        indexed = known.select("grp", own.alias("block"), "node", "n", "tokens", "class", outside.alias("query"), F.lit(True).alias("indexed"))
-        asked = known.where(outside).select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "n", "tokens", "class", F.lit(True).alias("query"), F.lit(False).alias("indexed"), own.alias("own"))
-        links.append(staged(_searched(indexed.union(asked.where("block <> own").drop("own")), percent)))
+        own = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block)).cast("int")
+        known = staged(known.join(largest, "grp").select("grp", "node", "n", "tokens", "class", (F.col("class") != F.col("main")).alias("outside"), own.alias("block")))
+        links.append(staged(_searched(block_pairs(known, posted), percent)))
     every = links[0]
     for more in links[1:]:
         every = every.union(more)

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from lodestone.llm import jaccard_join
 from lodestone.llm.jaccard_join import Index, least_overlap, similar
 
 
@@ -77,3 +78,25 @@ def test_odd_rows(make):
     got = {(r.doc_id, r.component_id) for r in similar(make([(None, a), (2, a), (None, "alone"), (None, None)])).collect()}
     assert got == {(None, 2), (2, 2), (None, None)}
     assert similar(make([])).collect() == []
+
+
+def test_a_task_holds_two_blocks_at_most(make, monkeypatch):
+    """Documents of shared passages: one group of sets that link with none but a few."""
+    rng = random.Random(4)
+    passages = [" ".join(f"p{i}w{j}" for j in range(40)) for i in range(90)]
+    rows = [(n, " ".join(passages[(n * k + s) % 90] for k, s in ((1, 0), (1, 1), (7, 2), (11, 5)))) for n in range(90)]
+    rows += [(100 + n, rows[n][1] + f" more{n}") for n in range(0, 90, 9)]
+    rng.shuffle(rows)
+    given = []
+    plain = jaccard_join._searched
+
+    def searched(frame, percent):
+        given.append(frame)
+        return plain(frame, percent)
+
+    monkeypatch.setattr(jaccard_join, "_searched", searched)
+    got = similar(make(rows), block=10).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    keys = [c for c in given[-1].columns if c in ("grp", "block", "low", "high")]
+    assert given[-1].select("node").distinct().count() > 80  # in one group of nine blocks
+    assert max(r["count"] for r in given[-1].groupBy(keys).count().collect()) <= 45
