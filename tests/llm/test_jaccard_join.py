@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm import jaccard_join
-from lodestone.llm.jaccard_join import Index, least_overlap, similar
+from lodestone.llm.jaccard_join import Chunk, Index, least_overlap, links, similar
 
 
 def shingles(text, width=5):
@@ -38,19 +38,19 @@ def brute(rows, percent=75):
 
 def test_search_finds_what_counting_finds():
     rng = random.Random(2)
-    for heap in (0, 10**9):
-        sets = []
-        for _ in range(120):
-            s = set(rng.sample(range(60), 30)) if rng.random() < 0.5 or not sets else set(sets[rng.randrange(len(sets))])
-            for _ in range(rng.randint(0, 8)):
-                s.discard(rng.randrange(60))
-                s.add(rng.randrange(200))
-            sets.append(s)
-        index = Index([np.sort(np.array(sorted(s))) for s in sets], np.array([len(s) for s in sets]))
-        index.HEAP = heap
-        for s in sets:
-            got = index.search(np.array(sorted(s)), len(s), 75, np.ones(len(sets), bool))
-            want = {i: len(s & t) for i, t in enumerate(sets) if len(s & t) >= least_overlap(len(s), len(t), 75)}
+    sets = []
+    for _ in range(120):
+        s = set(rng.sample(range(60), 30)) if rng.random() < 0.5 or not sets else set(sets[rng.randrange(len(sets))])
+        for _ in range(rng.randint(0, 8)):
+            s.discard(rng.randrange(60))
+            s.add(rng.randrange(200))
+        sets.append(s)
+    index = Index([np.sort(np.array(sorted(s))) for s in sets], np.array([len(s) for s in sets]))
+    mask = np.arange(len(sets)) % 3 > 0
+    for s in sets:
+        for wanted in (np.ones(len(sets), bool), mask):
+            got = index.search(np.array(sorted(s)), len(s), 75, wanted)
+            want = {i: len(s & t) for i, t in enumerate(sets) if wanted[i] and len(s & t) >= least_overlap(len(s), len(t), 75)}
             assert dict(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
 
 
@@ -90,9 +90,9 @@ def test_a_task_holds_two_blocks_at_most(make, monkeypatch):
     given = []
     plain = jaccard_join._searched
 
-    def searched(frame, percent):
+    def searched(frame, percent, every=False):
         given.append(frame)
-        return plain(frame, percent)
+        return plain(frame, percent, every)
 
     monkeypatch.setattr(jaccard_join, "_searched", searched)
     got = similar(make(rows), block=10).collect()
@@ -100,3 +100,50 @@ def test_a_task_holds_two_blocks_at_most(make, monkeypatch):
     keys = [c for c in given[-1].columns if c in ("grp", "block", "low", "high")]
     assert given[-1].select("node").distinct().count() > 80  # in one group of nine blocks
     assert max(r["count"] for r in given[-1].groupBy(keys).count().collect()) <= 45
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_every_link_between_different_sets(docs, rows, block):
+    found, member = links(docs, block=block)
+    node = {r.doc_id: r.node for r in member.collect()}
+    sets = {i: shingles(t) for i, t in rows if shingles(t)}
+    assert node == {i: min(j for j, t in sets.items() if t == s) for i, s in sets.items()}
+    heads = sorted(set(node.values()))
+    want = [(i, j) for i in heads for j in heads if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert sorted((r.a, r.b) for r in found.collect()) == want and want
+
+
+def thue_morse(start, n):
+    return "".join("ab"[(bin(i).count("1") + start) % 2] for i in range(n))
+
+
+def test_words_that_sums_of_powers_confuse(make):
+    a, b = thue_morse(0, 1024), thue_morse(1, 1024)
+    assert {(r.doc_id, r.component_id) for r in similar(make([(1, a), (2, b), (3, a + b), (4, b + a)])).collect()} == {(n, n) for n in (1, 2, 3, 4)}
+
+
+def test_a_shingle_that_more_sets_have_than_16_bits_count(spark, make):
+    """The counts of shared shingles must not wrap: the documents here share one shingle with all others and six with each other."""
+    common = "s0 s1 s2 s3 s4"
+    rows = [(1, common + " x0 x1 x2 x3 x4 x5"), (2, common + " x0 x1 x2 x3 x4 y5")]
+    many = spark.range(10, 10 + (1 << 16) - 2).selectExpr("id as doc_id", f"concat('{common} ', id) as text")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = similar(make(rows).select("doc_id", "text").union(many)).where("doc_id < 10").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, 7, 1), (2, 7, 1)}
+
+
+def test_hot_ids_are_dealt_over_chunks(make):
+    texts = [f"own{n} " + "x y z " * n for n in range(60)]
+    got = similar(make([(None, t) for t in texts] + [(7, t) for t in texts])).collect()
+    assert len(got) == 120 and {r.component_id for r in got if r.doc_id == 7} == {7}
+
+
+def test_names_of_equal_sets_alone_agree():
+    import pyarrow as pa
+
+    made = Chunk(pa.table({"doc_id": pa.array([1, 2, 3, 4]), "text": ["a b c d e f", "A b  c d e f", "a b c d f e", "a b"]}), 5)
+    assert made.names[0] == made.names[1] != made.names[2] and made.first == [True, False, True, True]
