@@ -3,21 +3,28 @@
 Every document is cut into blocks of ``ANCHOR`` words that do not overlap: these are the
 index. Every run of ``ANCHOR`` words, at each position, probes it. A repeat of at least
 ``2 * ANCHOR - 1`` words holds a whole block of its earlier place, so a run that is found
-there again; no other words can be part of a repeat. Around each hit the match is extended:
-all windows of ``width`` words that contain the hit are compared, by 96-bit hashes, with
-those around all other hits, and of equal windows the first keeps its words. Neighbouring
-windows that are repeated together make the maximal repeat.
+there again; no other words can be part of a repeat. Around each hit the match is extended
+to the left and to the right, a word at a time: every window of ``width`` words that still
+contains the hit is compared with those around all other hits, and of equal windows the
+first keeps its words. Windows that are repeated one after another make the maximal repeat.
+The comparison is with all earlier places at once, not with the place of one hit: where
+several documents share an anchor, the earlier copy of a window may stand in another of them
+than that of its neighbour, and an extension against one of them would miss it.
 
 Index, probes and windows are exchanged as packed arrays of hashes (one row for each chunk
-of documents and bucket of hashes). In a chunk equal hashes are merged before the exchange,
-so a passage in any number of documents costs a bucket no more keys than there are chunks.
-Anchors are 48 bits of a hash: a false hit only makes a candidate, which the comparison of
-windows rejects.
-
-Defined cases: a null text has no words and its kept text is empty; a null doc_id counts as
-larger than all others; of rows with one doc_id the smaller text comes first, so repeated
-rows repeat each other; an empty table gives no rows; columns besides doc_id and text are
-not read.
+of documents and bucket of hashes; both hold about ``CHUNK`` bytes of text, whatever the
+size of the table). In a chunk equal hashes are merged before the exchange, so a passage in
+any number of documents costs a bucket no more keys than there are chunks. Anchors are 48
+bits of a hash: a false hit only makes a candidate, which the comparison of windows rejects.
+Windows are compared by 96 bits of two independent hashes, which no sum or product of
+letters can make collide.
+
+Defined cases: a null text has no words and its kept text is empty; a very long text is a
+chunk of its own, and its words are taken apart block by block; a null doc_id counts as
+larger than all others; of rows with one doc_id, or with none, that with the smaller
+xxhash64 of its text comes first, so that many of them are dealt over several chunks; rows
+that are equal in both repeat each other; an empty table gives no rows; columns besides
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import partitions
+from lodestone.llm.common import partitions, pieces_of, staged, text_bytes
 from lodestone.llm.packed import by_bucket, contains, pack, unpack
 from lodestone.llm.words import split_words
 
 ANCHOR, KEY_BITS = 10, 48
-LAST = np.iinfo(np.int64).max
+#: Bytes of text that a chunk, and the keys of a bucket, come from.
+CHUNK = 8 << 20
 SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("data", pa.binary())])
 TOLD = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("kept", pa.string())])
@@ -54,18 +62,19 @@ class Chunk:
     """A chunk's documents in order, their words, and which anchors are valid."""
 
     def __init__(self, table: pa.Table):
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # nulls last
+        table = table.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("text", "ascending")])  # nulls last
         self.texts = table.column("text").combine_chunks()
         if isinstance(self.texts, pa.ChunkedArray):
             self.texts = pa.concat_arrays(self.texts.chunks) if self.texts.num_chunks else pa.array([], pa.string())
         self.ids = table.column("doc_id")
-        self.words = split_words(self.texts)
+        self.words = split_words(self.texts, twice=True)
         hashed, self.valid = self.words.grams(ANCHOR)
         self.keys = hashed >> np.uint64(64 - KEY_BITS)
         sizes = np.diff(self.words.first)
         self.place = np.arange(len(self.keys)) - np.repeat(self.words.first[:-1], sizes)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        self.order = self.ids.fill_null(LAST).to_numpy()
+        #: What orders documents: whether the id is null, the id, the tie between rows of one id.
+        self.order = [np.asarray(c, np.int64) for c in (self.ids.is_null().to_numpy(), self.ids.fill_null(0).to_numpy(), table.column("tie").to_numpy())]
 
     def anchors(self) -> np.ndarray:
         """The distinct keys, ascending, with two bits: a block has it; it occurs more than once."""
@@ -82,7 +91,7 @@ class Chunk:
         hit = contains(hits, self.keys) & self.valid
         sums = np.concatenate([[0], np.cumsum(hit)])
         one, valid = self.words.grams(width)
-        two = (self.words.grams(width, 24)[0] >> np.uint64(32)).astype(np.uint32)
+        two = (self.words.grams(width, second=True)[0] >> np.uint64(32)).astype(np.uint32)
         at = np.flatnonzero(valid)
         at = at[sums[at + width - ANCHOR + 1] > sums[at]]
         at = at[np.lexsort((two[at], one[at]))]
@@ -100,10 +109,16 @@ def removed_passages(docs: DataFrame, width: int = 20) -> DataFrame:
     """
     if width < 2 * ANCHOR - 1:
         raise ValueError(f"a window of {width} words may hold no whole block of {ANCHOR}")
-    parts = partitions(docs.sparkSession)
-    chunks = 2 * parts  # a few for each task, so that tasks are alike though chunks are hashed to them
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select(chunk, "doc_id", "text").repartition(parts, "chunk")
+    spark = docs.sparkSession
+    chunks = parts = pieces_of(text_bytes(docs), partitions(spark), CHUNK)
+    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    again = staged(base.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again"), F.lit(True).alias("repeated")))
+    if again.isEmpty():
+        base = base.withColumn("tie", F.lit(0).cast("long"))
+    else:
+        base = base.join(again, base["doc_id"].eqNullSafe(again["again"]), "left").select("doc_id", "text", F.when(F.col("repeated"), F.xxhash64("text")).otherwise(0).alias("tie"))
+    chunk = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(chunks)).cast("int").alias("chunk")
+    base = base.select(chunk, "doc_id", "tie", "text").repartition(partitions(spark), "chunk")
 
     def send(table: pa.Table) -> pa.Table:
         at = table.column("chunk")[0].as_py()
@@ -144,7 +159,7 @@ def removed_passages(docs: DataFrame, width: int = 20) -> DataFrame:
         number = left.column("chunk")[0].as_py()
         for b, s in by_bucket(one, parts, 64):
             head = pack(one[s])
-            rows.append((b, number, len(head).to_bytes(4, "little") + head + two[s].tobytes() + _planes(own.order[own.doc[at[s]]])))
+            rows.append((b, number, len(head).to_bytes(4, "little") + head + two[s].tobytes() + b"".join(_planes(o[own.doc[at[s]]]) for o in own.order)))
         return _rows(SENT, rows)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -156,11 +171,12 @@ def removed_passages(docs: DataFrame, width: int = 20) -> DataFrame:
             ones.append(unpack(d[4:cut]))
             n = len(ones[-1])
             twos.append(np.frombuffer(d, np.uint32, n, cut))
-            docs_of.append(np.frombuffer(d, np.uint8, 8 * n, cut + 4 * n).reshape(8, n).T.copy().view(np.int64).ravel())
+            docs_of.append([np.frombuffer(d, np.uint8, 8 * n, cut + (4 + 8 * k) * n).reshape(8, n).T.copy().view(np.int64).ravel() for k in range(3)])
             sizes.append(n)
-        one, two, doc = map(np.concatenate, (ones, twos, docs_of))
+        one, two = map(np.concatenate, (ones, twos))
+        null, doc, tie = map(np.concatenate, zip(*docs_of, strict=True))
         owner = np.repeat(np.arange(len(of)), sizes)
-        order = np.lexsort((doc, two, one))
+        order = np.lexsort((tie, doc, null, two, one))
         one, two, owner = one[order], two[order], owner[order]
         later = np.zeros(len(one), bool)
         later[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
