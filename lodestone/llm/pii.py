@@ -16,8 +16,10 @@ A run of digit groups may hold a card beside other numbers (a security code, an
 date): if the run as a whole fails the check, its parts between separators are tried.
 
 Defined cases: a null text stays null; a text without findings is returned as it is, byte
-for byte; repeated rows are treated alike; an empty table gives no rows; all columns but
-text are kept as they are.
+for byte; a very long text is searched from start to end in one pass; where findings could
+overlap the earlier one counts; rows with a null or the same doc_id are treated each for
+itself, and repeated rows alike; an empty table gives no rows; all columns but text are kept
+as they are, but for one named n_pii.
 """
 
 from __future__ import annotations
@@ -73,6 +75,12 @@ class Feistel:
                 return x
 
 
+class Undo(Feistel):
+    """The same permutation the other way round."""
+
+    permute = Feistel.restore
+
+
 def luhn_digit(digits: str) -> str:
     """The digit that completes ``digits`` to a number that passes the Luhn check."""
     total = 0
@@ -95,7 +103,7 @@ _NONE = _Beyond()
 
 
 class Pseudonyms:
-    """Finds personal data in texts and replaces it under one key."""
+    """Finds personal data in texts and replaces it under one key, or, with ``undo``, gives the values back that one key replaced."""
 
     #: What may be personal data; the group's name tells the kind. Fixed formats.
     PATTERN = re.compile(
@@ -115,10 +123,10 @@ class Pseudonyms:
     #: Every finding has one of these, so most texts need one look.
     HINT = re.compile(r"@|\d[\d./ ()-]{4,}\d|\d{4}")
 
-    def __init__(self, key: bytes):
+    def __init__(self, key: bytes, undo: bool = False):
         self.key = key
-        self.network = lru_cache(maxsize=4096)(lambda tweak, bound: Feistel(key, tweak, bound))
-        self.value = lru_cache(maxsize=65536)(self._value)
+        self.network = lru_cache(maxsize=1024)(lambda tweak, bound: (Undo if undo else Feistel)(key, tweak, bound))
+        self.value = lru_cache(maxsize=8192)(self._value)
 
     def _number(self, digits: str, tweak: str) -> str:
         return str(self.network(tweak, 10 ** len(digits)).permute(int(digits))).zfill(len(digits))
@@ -161,13 +169,28 @@ class Pseudonyms:
         return str(ipaddress.IPv4Address(".".join(reversed(out))))
 
     def phone(self, text: str) -> str | None:
-        """The country's code stays; so does whether area and exchange may begin as they do."""
+        """The country's code stays. In numbers of ten digits with code +1, or without one, area and exchange keep whether they begin with 2 to 9; in others a first 0 stays and no other becomes 0. A number with +1 and the same without are permuted alike."""
         head = re.match(r"\+\d{1,3}", text)
         body = text[head.end() :] if head else text
-        digits = re.sub(r"\D", "", body)
+        digits, country = re.sub(r"\D", "", body), head.group() if head else "+1"
         if not 7 <= len(digits) <= 14:
             return None
-        return text[: len(text) - len(body)] + self._refill(body, self._number(digits, f"phone:{head.group() if head else ''}"))
+        if country == "+1" and len(digits) == 10:
+            ranges = [((2, 8) if d > "1" else (0, 2)) if i in (0, 3) else (0, 10) for i, d in enumerate(digits)]
+        else:
+            ranges = [((1, 9) if d > "0" else (0, 1)) if not i else (0, 10) for i, d in enumerate(digits)]
+        return text[: len(text) - len(body)] + self._refill(body, self._within(digits, ranges, f"phone:{country}"))
+
+    def _within(self, digits: str, ranges: list[tuple[int, int]], tweak: str) -> str:
+        """``digits`` permuted among those whose digits lie in the same ranges (lowest, how many)."""
+        bound, x = 1, 0
+        for d, (low, n) in zip(digits, ranges, strict=True):
+            bound, x = bound * n, x * n + int(d) - low
+        x, out = self.network(f"{tweak}:{ranges}", bound).permute(x), []
+        for low, n in reversed(ranges):
+            x, r = divmod(x, n)
+            out.append(str(r + low))
+        return "".join(reversed(out))
 
     def ssn(self, text: str) -> str | None:
         area, group, serial = map(int, text.split("-"))
@@ -180,7 +203,11 @@ class Pseudonyms:
         return f"{index + 1 + (index >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def date(self, text: str) -> str | None:
-        """Days are permuted within their century, so that a date of birth stays a likely one."""
+        """Days are permuted within their century, so that a date of birth stays a likely one.
+
+        The result has as many digits in each part and is read in the same order of parts: a
+        month that comes first is followed by a day over 12, as else the day would come first.
+        """
         for shape, order in ((r"(\d{4})([-/])(\d\d)\2(\d\d)$", "ymd"), (r"(\d\d?)([./])(\d\d?)\2(\d{4})$", "dmy"), (r"(\d\d?)([./])(\d\d?)\2(\d{4})$", "mdy")):
             if not (m := re.match(shape, text)):
                 continue
@@ -194,10 +221,10 @@ class Pseudonyms:
                 return None
             start, n = datetime.date(first, 1, 1).toordinal(), datetime.date(first + 99, 12, 31).toordinal() + 1
             moved, net = day.toordinal() - start, self.network(f"date:{first}", n - start)
-            while True:  # along the cycle to a day that parts of one digit can write; the day itself is one
+            while True:  # along the cycle to a day that such parts can write and that is read so; the day itself is one
                 moved = net.permute(moved)
                 new = datetime.date.fromordinal(start + moved)
-                if all(v < 10 or len(part[k]) > 1 for k, v in (("m", new.month), ("d", new.day))):
+                if all(v < 10 or len(part[k]) > 1 for k, v in (("m", new.month), ("d", new.day))) and (order != "mdy" or new.day > 12):
                     break
             out = {"y": f"{new.year:04d}", "m": str(new.month).zfill(len(part["m"])), "d": str(new.day).zfill(len(part["d"]))}
             return m[2].join(out[k] for k in order)
@@ -290,20 +317,20 @@ class Pseudonyms:
         return "".join([*out, text[at:]])
 
 
-KEY = b"lodestone-example-key"
-
-
 @lru_cache(maxsize=2)
 def pseudonyms(key: bytes) -> Pseudonyms:
-    """One for each Python worker, which runs many tasks."""
+    """One for each Python worker, which runs many tasks; what it remembers is emptied after each."""
     return Pseudonyms(key)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; one more column n_pii long counts the replacements.
 
-    A column of ``docs`` named n_pii gives way to it.
+    ``key`` (up to 64 bytes) is the caller's secret: who has it can undo the replacement. A
+    column of ``docs`` named n_pii gives way to the count.
     """
+    if not key:
+        raise ValueError("a key is needed")
     names = [c for c in docs.columns if c != "n_pii"]
     source = docs.select(*names)
     at = names.index("text")
@@ -311,16 +338,19 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         hide = pseudonyms(key)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                b = whole.slice(start, 512)
-                texts, counts = [], []
-                for t in b.column(at):
-                    found: list[str] = []
-                    texts.append(None if (t := t.as_py()) is None else hide.apply(t, found.append))
-                    counts.append(len(found))
-                columns = [*b.columns]
-                columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, "n_pii"])
+        try:
+            for whole in batches:
+                for start in range(0, whole.num_rows, 512):
+                    b = whole.slice(start, 512)
+                    texts, counts = [], []
+                    for t in b.column(at):
+                        found: list[str] = []
+                        texts.append(None if (t := t.as_py()) is None else hide.apply(t, found.append))
+                        counts.append(len(found))
+                    columns = [*b.columns]
+                    columns[at] = pa.array(texts, pa.string())
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, "n_pii"])
+        finally:
+            hide.value.cache_clear()
 
     return source.withColumn("text", F.col("text").cast("string")).mapInArrow(run, fields)

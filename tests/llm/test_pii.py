@@ -57,6 +57,89 @@ def test_distinct_values_stay_distinct():
     assert all(re.fullmatch(r"\d/\d/\d{4}", p.apply(v)) for v in short)
 
 
+def test_slash_dates_are_one_to_one_and_read_back_in_their_order():
+    """All days of a decade in every form, the parts in both orders."""
+    import datetime
+
+    p, day = Pseudonyms(KEY), datetime.date(1990, 1, 1)
+    texts = set()
+    while day.year < 2000:
+        y, m, d = day.year, day.month, day.day
+        texts |= {f"{d:02d}/{m:02d}/{y}", f"{m:02d}/{d:02d}/{y}", f"{d}/{m}/{y}", f"{m}/{d}/{y}", f"{d:02d}.{m}.{y}"}
+        day += datetime.timedelta(days=1)
+    new = {t: p.apply(t) for t in texts}
+    assert len(set(new.values())) == len(texts) and all(len(t) == len(n) for t, n in new.items())
+    undo = Pseudonyms(KEY, undo=True)
+    assert all(undo.apply(n) == t for t, n in new.items())
+
+
+def test_phones_stay_possible_and_linked():
+    p = Pseudonyms(KEY)
+    for n in range(200):
+        a, b, c = 200 + 3 * n, 999 - n, 1000 + n
+        new = p.apply(f"({a}) {b}-{c}")
+        assert new[1] in "23456789" and new[6] in "23456789"
+        assert p.apply(f"+1 ({a}) {b}-{c}") == "+1 " + new and re.sub(r"\D", "", p.apply(f"{a}-{b}-{c}")) == re.sub(r"\D", "", new)
+    assert p.apply("(055) 155-1234")[1] in "01" and p.apply("+49 030 123 4567")[4] == "0"
+
+
+def test_the_key_gives_the_values_back():
+    p, undo = Pseudonyms(KEY), Pseudonyms(KEY, undo=True)
+    for v in FOUND:
+        text = f"see {v}, please"
+        assert undo.apply(p.apply(text)) == text != p.apply(text) and Pseudonyms(b"other", undo=True).apply(p.apply(text)) != text
+
+
+def plain_finds(text):
+    """An independent look for values that stand between blanks, word by word and in runs of up to nine words."""
+    import ipaddress
+
+    found, parts, at = [], text.split(" "), 0
+    while at < len(parts):
+        for n in range(9, 0, -1):
+            v = " ".join(parts[at : at + n]) if at + n <= len(parts) else ""
+            d = [c for c in v if c.isdigit()]
+            bare = v.replace(" ", "").replace("-", "")
+            if bare.isdigit() and 13 <= len(bare) <= 19 and n < 6 and len(set(bare)) > 1:
+                twice = [int(c) * 2 for c in bare[-2::-2]]
+                if not (sum(map(int, bare[-1::-2])) + sum(t // 10 + t % 10 for t in twice)) % 10:
+                    found.append(v)
+                    break
+            if bare.isalnum() and bare.upper() == bare and bare[:2].isalpha() and bare[2:4].isdigit() and 15 <= len(bare) <= 34 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                found.append(v)
+                break
+            if n == 1 and v.count(".") == 3 and len(d) >= 4:
+                try:
+                    found.append(str(ipaddress.IPv4Address(v)))
+                    break
+                except ValueError:
+                    pass
+            if n == 1 and v.count("@") == 1 and "." in v.partition("@")[2]:
+                found.append(v)
+                break
+        else:
+            n = 1
+        at += n
+    return found
+
+
+def test_against_a_plain_finder():
+    rng, p = random.Random(6), Pseudonyms(KEY)
+    values = [v for v in FOUND if "/" not in v and "+" not in v and not re.fullmatch(r"[\d.-]{10,12}", v)] + ["10.2.33.255"]
+    for _ in range(300):
+        parts = [rng.choice(values) if rng.random() < 0.3 else rng.choice(["word", "42", "x@y", "999.1.1.1", "1234567812345678", "DE00", "v1.2"]) for _ in range(12)]
+        text = " word ".join(parts)
+        got = [text[a:b] for k, a, b in p.found(text) if p.value(k, text[a:b]) is not None]
+        assert got == plain_finds(text)
+
+
+def test_a_key_is_needed(make):
+    import pytest
+
+    with pytest.raises(ValueError, match="key"):
+        pseudonymise(make([]), b"")
+
+
 def test_operator(make):
     rows = [(1, f"mail {FOUND[4]} and {FOUND[0]}"), (2, f"again {FOUND[4]}"), (2, f"again {FOUND[4]}"), (3, None), (4, ""), (5, "clean text 42"), (None, FOUND[1]), (6, ("word " * 20000) + FOUND[3])]
     df = make(rows)
