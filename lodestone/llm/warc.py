@@ -9,27 +9,32 @@ and the others refer to it (revisits).
 ``partition_bytes``. Filters on record_type, page_id, target_uri and payload_digest are
 pushed down: of each record the header is unpacked and parsed first, and the payload of a
 record that they refuse is neither unpacked nor decoded. Option ``payload=false`` leaves
-payloads undecoded altogether. Archives by others, where members hold no ``sl`` field or
-are not packed, are read as well.
+payloads undecoded altogether. A manifest table beside the archives names the files of
+finished tasks with their sizes, so the driver moves no file and lists no folder. Folders
+without one, and archives by others, where members hold no ``sl`` field or are not packed,
+are read as well: the payload of a record that is no HTTP message is its whole block, a
+length that is no number counts as 0.
 
-Defined cases: a null html counts as empty; a null url is written as none and read as null,
+Defined cases: a very long payload is one record; a null html counts as empty; a null url is written as none and read as null,
 spaces and control characters of others are percent-encoded;
 rows with a null page_id revisit the largest page_id of their payload, or are responses if
 it has none; repeated rows get a record each, of the same type; an empty table makes
-archives without records.
+archives without records; columns besides page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
@@ -38,6 +43,8 @@ from lodestone.llm.common import partitions, shared_dir, staged
 SCHEMA = "record_type string, record_id string, page_id long, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload string"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PAGE_URN = "urn:x-page:"
+#: The table, in the folder of the archives, of the files that finished tasks wrote.
+MANIFEST = "manifest.parquet"
 
 
 def _filesystem(path: str):
@@ -89,8 +96,7 @@ def write_archives(pages: DataFrame, out: str | None = None, least: int = 0) ->
 
     Of pages with equal payloads of at least ``least`` bytes the one with the largest page_id
     becomes the response and the others revisit it; smaller payloads are all responses.
-    Files of failed attempts are left out: only those are moved into the archives' folder
-    that a finished job names.
+    Files of failed attempts are left out: the manifest names only those of finished tasks.
     """
     out = out or shared_dir(pages.sparkSession)
     own = uuid.uuid4().hex
@@ -102,10 +108,10 @@ def write_archives(pages: DataFrame, out: str | None = None, least: int = 0) ->
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, folder = _filesystem(out)
-        where.create_dir(f"{folder}/_open", recursive=True)
+        where.create_dir(folder, recursive=True)
         name = f"{own}-{uuid.uuid4().hex}.warc.gz"
         n = 0
-        with where.open_output_stream(f"{folder}/_open/{name}", compression=None) as f:
+        with where.open_output_stream(f"{folder}/{name}", compression=None) as f:
             info = b"software: lodestone\r\nformat: WARC File Format 1.1\r\n"
             f.write(member(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <" + uuid.uuid4().urn.encode() + b">\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: " + str(len(info)).encode() + b"\r\n\r\n" + info + b"\r\n\r\n"))
             for b in batches:
@@ -114,14 +120,11 @@ def write_archives(pages: DataFrame, out: str | None = None, least: int = 0) ->
                     revisit = to is not None and to != page
                     f.write(member(record("revisit" if revisit else "response", page, url.as_py(), html.as_py().encode(), to if revisit else None)))
                     n += 1
-        yield pa.RecordBatch.from_pydict({"name": [name], "n": [n]})
+            size = f.tell()
+        yield pa.RecordBatch.from_pydict({"name": [name], "records": [n], "size": [size]})
 
-    done = staged(rows.mapInArrow(write, "name string, n long"))
-    where, folder = _filesystem(out)
-    where.create_dir(f"{folder}/archives", recursive=True)
-    for (name,) in done.select("name").collect():  # one for each partition
-        where.move(f"{folder}/_open/{name}", f"{folder}/archives/{name}")
-    return f"{out}/archives"
+    rows.mapInArrow(write, "name string, records long, size long").write.parquet(f"{out}/{MANIFEST}")
+    return out
 
 
 class Files(InputPartition):
@@ -155,14 +158,19 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         where, folder = _filesystem(self.path)
-        found = where.get_file_info(fs.FileSelector(folder, recursive=True))
+        if where.get_file_info(f"{folder}/{MANIFEST}").type == fs.FileType.Directory:
+            told = pq.read_table(f"{folder}/{MANIFEST}", filesystem=where, columns=["name", "size"])  # a row for each file
+            files = [(f"{folder}/{n}", s) for n, s in zip(told.column("name").to_pylist(), told.column("size").to_pylist(), strict=True)]
+        else:
+            found = where.get_file_info(fs.FileSelector(folder, recursive=True))
+            files = [(f.path, f.size) for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz"))]
         runs, size = [], self.size
-        for f in sorted((f for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz"))), key=lambda f: f.path):
-            if size + f.size > self.size or not runs:
+        for path, n in sorted(files):
+            if size + n > self.size or not runs:
                 runs.append([])
                 size = 0
-            runs[-1].append(f.path)
-            size += f.size
+            runs[-1].append(path)
+            size += n
         return [Files(names) for names in runs]
 
     def read(self, partition: Files) -> Iterator[tuple]:
@@ -175,16 +183,27 @@ class WarcReader(DataSourceReader):
                         continue
                     payload = None
                     if self.payload and row["record_type"] == "response":
-                        block = rest()
-                        payload = block[block.index(b"\r\n\r\n") + 4 :].decode("utf-8", "replace")
+                        payload = _payload(head, rest()).decode("utf-8", "replace")
                     yield (*(row[k] for k in self.HEADER), payload)
 
 
+def _payload(head: dict[str, str], block: bytes) -> bytes:
+    """What an HTTP message carries behind its own header; another block is all payload."""
+    if not head.get("content-type", "").startswith("application/http"):
+        return block
+    _, gap, body = block.partition(b"\r\n\r\n")
+    return body if gap else block
+
+
+def _number(text: str | None) -> int:
+    return int(text) if text and text.isascii() and text.isdigit() else 0
+
+
 def _fields(head: dict[str, str]) -> dict | None:
     """The columns that a response's or revisit's header gives; None for other records."""
     if head.get("warc-type") not in ("response", "revisit"):
         return None
-    page = lambda s: int(s[len(PAGE_URN) + 1 : -1]) if s and s.startswith(f"<{PAGE_URN}") else None
+    page = lambda s: int(s[len(PAGE_URN) + 1 : -1]) if s and re.fullmatch(f"<{PAGE_URN}-?[0-9]+>", s) else None
     length = head.get("x-payload-length")
     return {
         "record_type": head["warc-type"],
@@ -192,7 +211,7 @@ def _fields(head: dict[str, str]) -> dict | None:
         "page_id": page(head.get("x-page")),
         "target_uri": head.get("warc-target-uri"),
         "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-        "payload_bytes": int(length) if length else None,
+        "payload_bytes": _number(length) if length else None,
         "refers_to": page(head.get("warc-refers-to")),
     }
 
@@ -219,7 +238,7 @@ def _records(f, chunk: int = 1 << 16):
                     break
             cut = plain.find(b"\r\n\r\n") + 4
             head = _head(plain[:cut])
-            need, got = int(head.get("content-length", 0)), [plain[cut:]]
+            need, got = _number(head.get("content-length")), [plain[cut:]]
 
             def rest(source=source, got=got, need=need):
                 size = len(got[0])
@@ -251,7 +270,7 @@ def _records(f, chunk: int = 1 << 16):
             if cut < 4:
                 return
             head = _head(plain[skipped:cut])
-            need, begin = int(head.get("content-length", 0)), at + cut
+            need, begin = _number(head.get("content-length")), at + cut
 
             def rest(begin=begin, need=need):
                 f.seek(begin)
@@ -273,6 +292,36 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
 
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def base32_sha1(data: Column) -> Column:
+    """The SHA-1 of a binary column in base 32: of each 20 bits, five hexadecimal digits, four letters."""
+    digits, letters = F.sha1(data), []
+    for n in range(8):
+        value = F.conv(F.substring(digits, 5 * n + 1, 5), 16, 10).cast("int")
+        letters += [F.substr(F.lit(BASE32), F.shiftright(value, k).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for k in (15, 10, 5, 0)]
+    return F.concat(*letters)
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to), lengths and digests from the payloads themselves.
+
+    Responses are read with their payloads, revisits from their headers alone, by a filter on
+    the record's type that the reader decides. A revisit has the length and digest of the
+    response that it refers to, which must have the digest that the revisit names.
+    """
+    held = read_archives(spark, path).where("record_type = 'response'")
+    data = F.encode("payload", "UTF-8")
+    responses = staged(held.select("page_id", F.octet_length(data).cast("long").alias("payload_bytes"), base32_sha1(data).alias("payload_digest")))
+    heads = responses.where("page_id is not null").distinct().select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    revisits = read_archives(spark, path, payload=False).where("record_type = 'revisit'").select("page_id", "refers_to", "payload_digest")
+    found = revisits.join(heads, ["refers_to", "payload_digest"])
+    return responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).union(
+        found.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit"), "refers_to")
+    )
+
+
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """The response and revisit records of the archives below ``path``."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -5,7 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.warc import WarcReader, digest, member, read_archives, record, write_archives
+from lodestone.llm.warc import MANIFEST, WarcReader, digest, member, read_archives, read_back, record, write_archives
 
 
 def pages(spark, rows):
@@ -67,3 +67,33 @@ def test_empty_and_repeated(spark):
 def test_payload_option(spark, payload):
     path = write_archives(pages(spark, ROWS[:2]))
     assert sum(r.payload is not None for r in read_archives(spark, path, payload).collect()) == payload
+
+
+def foreign(kind, block, *lines):
+    return "\r\n".join(["WARC/1.0", "WARC-Type: response", f"Content-Type: {kind}", *lines]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_that_are_no_http_message(tmp_path):
+    dns = b"20240101000000\nexample.org. 300 IN A 192.0.2.1\n"
+    records = [foreign("text/dns", dns, f"Content-Length: {len(dns)}", "X-Page: <urn:x-page:what>"), foreign("application/http; msgtype=response", b"HTTP/1.1 200 OK", "Content-Length: 15"), foreign("text/dns", b"", "Content-Length: many", "X-Payload-Length: few"), record("response", 4, None, b"last", None)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc").write_bytes(b"".join(records))
+    reader = WarcReader({"path": str(tmp_path)})
+    found = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [(r[2], r[-1]) for r in found] == [(None, dns.decode()), (None, "HTTP/1.1 200 OK"), (None, ""), (4, "last")] * 2
+
+
+def test_read_back_takes_lengths_and_digests_from_payloads(spark):
+    path = write_archives(pages(spark, ROWS).repartition(3))
+    want = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read_archives(spark, path).collect()}
+    got = [tuple(r) for r in read_back(spark, path).collect()]
+    assert set(got) == want and len(got) == len(ROWS)
+
+
+def test_files_of_failed_attempts_are_not_read(spark):
+    path = write_archives(pages(spark, ROWS[:3]))
+    folder = path.removeprefix("file://")
+    with open(f"{folder}/stray.warc.gz", "wb") as f:
+        f.write(member(record("response", 99, None, b"stray", None)))
+    assert {r.page_id for r in read_archives(spark, path).collect()} == {1, 2, 3}
+    assert spark.read.parquet(f"{path}/{MANIFEST}").agg(F.sum("records")).first()[0] == 3
