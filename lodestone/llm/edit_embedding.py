@@ -13,7 +13,10 @@ The bits repeat after ``PERIOD`` steps and characters fall into ``CLASSES`` clas
 the wait on a character is one look into a table. Memory is constant in the text's length.
 
 Defined cases: a null text counts as empty; the fingerprint of an empty text is all zeros;
-repeated rows give repeated results; an empty table gives no rows.
+a very long text is walked through in parts; rows with a null doc_id are fingerprinted, and
+come last in the order, but belong to no class of :func:`near_duplicates`; rows that share a
+doc_id are ordered by the hash of their texts; repeated rows give repeated results; an empty
+table gives no rows; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -230,8 +233,8 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def edited_fingerprints(docs: DataFrame, samples: int = 128) -> DataFrame:
     """Each document's fingerprint beside those of an edited text and of the next document.
 
-    The next document is that of the next smaller doc_id (ties: the smaller text), after the
-    last the first; the edited text has the last third of the characters replaced by the
+    The next document is that of the next smaller doc_id (ties: the smaller xxhash64 of the
+    text, so that many rows of one doc_id are dealt over several tasks), after the last the first; the edited text has the last third of the characters replaced by the
     first of the next. Documents are range-partitioned in that order, so a task meets each
     next document but that of its last row; those few rows, one for each partition, are
     completed in a second step from the first texts of the partitions.
@@ -287,7 +290,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = 128) -> DataFrame:
                 yield out(rows, plain)
 
     falling = F.col("doc_id").desc_nulls_last()
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions(docs.sparkSession), falling).sortWithinPartitions(falling, "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), falling, "tie").sortWithinPartitions(falling, "tie", "text").select("doc_id", "text")
     made = staged(ordered.mapInArrow(inner, f"{RESULT}, part int, first string, last string"))
     parts = made.where("first is not null").select("part")
     order = Window.orderBy("part")  # one row for each partition

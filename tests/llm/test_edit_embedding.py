@@ -1,11 +1,43 @@
 """Fingerprints by the edit embedding."""
 
 import hashlib
+import os
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from lodestone.llm.edit_embedding import Walk, edited_fingerprints, fingerprints, likeness, near_duplicates
 
 
+class PlainWalk:
+    """The embedding step by step, from the same random numbers but none of the operator's tables of waits."""
+
+    def __init__(self, samples=128, seed=20240):
+        rng = np.random.default_rng(seed)
+        self.moves = rng.integers(0, 2, (64, 4096), dtype=np.uint8)
+        self.at: dict[int, list[int]] = {}  # step -> the samples that take what is read there
+        for k in range(samples):
+            step = 0
+            while step < 1 << 48:
+                self.at.setdefault(step, []).append(k)
+                step = max(step + 1, int((step + 1) / (1 - rng.random())))
+        self.salt = [int(x) | 1 for x in rng.integers(1, 1 << 32, samples, dtype=np.uint64)]
+
+    def samples(self, text):
+        out, step = [0] * len(self.salt), 0
+        for c in map(ord, text):
+            kind = (c * 2654435761 % (1 << 32)) >> 26
+            while True:
+                for k in self.at.get(step, ()):
+                    out[k] = (c + 1) * self.salt[k] % (1 << 64) >> 24 & 255
+                step += 1
+                if (step - 1) % 64 == 0 or self.moves[kind, (step - 1) % 4096]:
+                    break
+        return out
+
+
 def test_edits_keep_likeness_and_chance_does_not():
     rng, walk = random.Random(1), Walk()
     text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
@@ -32,14 +64,16 @@ def test_a_walk_may_be_fed_in_parts():
 
 def test_against_a_plain_loop(docs, rows, make):
     for given, df in ((rows, docs), ([(1, "abc")], make([(1, "abc")])), ([(2, None), (2, "zz" * 9), (1, "")], make([(2, None), (2, "zz" * 9), (1, "")]))):
-        walk, want = Walk(), []
-        ordered = sorted(given, key=lambda r: (-r[0], r[1] is not None, r[1] or ""))
+        walk, want = PlainWalk(), []
+        tie = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+        ordered = sorted(given, key=lambda r: (-r[0], tie[r[1]], r[1] is not None, r[1] or ""))
         for n, (i, t) in enumerate(ordered):
             t, after = t or "", ordered[(n + 1) % len(ordered)][1] or ""
             cut = len(t) // 3
             e = t[: len(t) - cut] + after[:cut]
-            a, b, c = (walk.start().feed(x) for x in (t, e, after))
-            want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), a.fingerprint(), b.fingerprint(), a.likeness(b), a.likeness(c)))
+            a, b, c = map(walk.samples, (t, e, after))
+            same = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True)) / len(x)
+            want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), bytes(a).hex(), bytes(b).hex(), same(a, b), same(a, c)))
         assert sorted(tuple(r) for r in edited_fingerprints(df).collect()) == sorted(want)
     assert edited_fingerprints(make([])).collect() == []
 
@@ -76,3 +110,24 @@ def test_near_copies_behind_unrelated_smaller_ones(make):
     assert top[1001] == 1000
     for sizes in ({}, {"block": 40}):
         assert {r.doc_id: r.component for r in near_duplicates(make(rows), **sizes).collect()} == top
+
+
+def test_recall_on_the_test_table(spark):
+    """Pairs of the registered query's classes against all pairs of fingerprints that agree in 0.75 of samples or more."""
+    from lodestone.llm.queries import fingerprint_classes
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    got = {r.doc_id: r.component for r in fingerprint_classes(spark, sf).collect()}
+    prints = {r.doc_id: np.frombuffer(bytes.fromhex(r.fingerprint), np.uint8) for r in fingerprints(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    ids = sorted(prints)
+    every = np.stack([prints[i] for i in ids])
+    pairs = [(i, ids[j]) for n, i in enumerate(ids) for j in np.flatnonzero((every[:n] == every[n]).mean(1) >= 0.75)]
+    assert set(got) == set(ids) and len(pairs) > 100
+    assert sum(got[i] == got[j] for i, j in pairs) == len(pairs)  # recall 1.0
+    top = {i: i for i in ids}
+    for _ in range(20):  # classes by the plain pairs
+        for i, j in pairs:
+            top[i] = top[j] = min(top[i], top[j])
+    assert got == top
