@@ -12,11 +12,14 @@ Counts and fit read a bounded sample: at most ``sample`` labelled documents, tho
 smallest hashes of doc_id, whatever the size of the tables. Scoring covers every document
 and the whole text.
 
-Defined cases: a null text counts as empty and scores the base rate; documents with a null
+The ``features`` that are kept (1,024 by default) bound the model: n-grams beyond them tell
+least about the label and weigh nothing.
+
+Defined cases: a very long text is read in overlapping parts and counts each n-gram once; a null text counts as empty and scores the base rate; documents with a null
 doc_id are scored but never learnt from; labels that are null or not 0 or 1 are left out;
 without labels of both classes every score is the base rate (0.0 without labels), which is
-reported as it is; repeated rows are scored alike; columns besides doc_id and text are not
-read.
+reported as it is; a score of exactly 0.5 counts as toxic; repeated rows are scored alike;
+an empty table gives no rows; columns besides doc_id, text and the kept ones are not read.
 """
 
 from __future__ import annotations
@@ -178,9 +181,14 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 1024, sample: int =
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``score``, from 0 to 1, of its column text."""
-    kept = [c for c in keep if c != "score"]
-    source = docs.select(*kept, F.col("text").cast("string").alias("scored_text"))
+    """The columns ``keep`` of ``docs`` and ``score``, from 0 to 1, of its column text; a kept column named score would clash and is refused."""
+    if "score" in keep:
+        raise ValueError("a column named score cannot be kept beside the score")
+    kept = list(keep)
+    copy = "text_"
+    while copy in kept:
+        copy += "_"
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col("text").cast("string").alias(copy))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "score double"])
 
     def run(batches):
