@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, decontamination, jaccard_join, pii, toxicity
 from lodestone.llm.common import staged
 
+#: For the invented documents here; a pipeline over real ones needs a secret of its own.
+KEY = b"an example, not a secret"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labelled ones among ``docs``, scores below 0.5."""
+    """Documents that the classifier, learnt from the labelled ones among ``docs``, scores below 0.5.
+
+    Null and empty texts score the base rate, very long ones are read whole; rows with a null
+    doc_id are scored but not learnt from; repeated rows go or stay together; a score of
+    exactly 0.5 rejects; an empty table gives no rows; other columns are left out.
+    """
     labels = toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=tuple(COLUMNS))
     # the scorer passes text on beside the copy that it reads
@@ -24,7 +31,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents the one with the smallest doc_id; rows without doc_id stay.
 
-    Of rows that repeat a doc_id that stays, the one with the smallest text is kept.
+    Of rows that repeat a doc_id that stays, the one with the smallest text is kept. Null and
+    empty texts link with nothing and stay; an empty table gives no rows; other columns are
+    left out.
     """
     classes = jaccard_join.similar(docs, 5, 75)
     gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
@@ -37,7 +46,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside any occurrence of a benchmark window."""
+    """Documents without a word inside any occurrence of a benchmark window.
+
+    Null and empty texts have no words and stay; rows are judged by their own text, also where
+    doc_id is null or repeated, so repeated rows go or stay together; an empty table, or an
+    empty benchmark, changes nothing; other columns are left out.
+    """
     found = decontamination.occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
     hit = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
     source = docs.select(*COLUMNS)
@@ -45,19 +59,25 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by pseudonyms; n_chars follows the text."""
-    hidden = pii.pseudonymise(docs.select(*COLUMNS))
+    """All documents, personal data in their texts replaced by pseudonyms; n_chars follows the text.
+
+    A null text stays null and keeps its n_chars; empty and clean texts stay as they are; rows
+    with a null or repeated doc_id are treated each for itself; an empty table gives no rows;
+    other columns are left out.
+    """
+    hidden = pii.pseudonymise(docs.select(*COLUMNS), KEY)
     return hidden.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the texts' token ids and of what these decode to."""
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the texts' token ids and of what these decode to.
+
+    A null text counts as empty; every row gives one, also where doc_id is null or repeated; an
+    empty table gives no rows; other columns are left out.
+    """
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    ids = bpe.encode(docs, path)
-    digests = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    return bpe.decode(digests, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
