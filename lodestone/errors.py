@@ -11,11 +11,3 @@ class UniqueConstraintError(EngineError):
 
 class TypeMismatchError(EngineError):
     """A value does not fit its column."""
-
-
-class SerializationConflict(EngineError):
-    """A row changed after the transaction's snapshot was taken; the transaction may be tried again."""
-
-
-class RowNotFound(EngineError):
-    """The row to be changed does not exist."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -38,12 +39,21 @@ def make_key(df: DataFrame, positions: Sequence[int], rid: str | None = None, na
     return df.withColumn(name, F.struct(*names(df, positions), *([rid] if rid else [])))
 
 
-def filter_rows(df: DataFrame, passes: Column | Callable | None) -> DataFrame:
-    """Rows that pass a condition; a Python function of the row's values is the slow way."""
+def filter_rows(df: DataFrame, passes: Column | Callable | None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows that pass a condition.
+
+    A Python function gets ``columns`` (default: all) as pandas Series, a batch of rows at a
+    time, and returns a Series of booleans, where null does not pass. Only these columns go
+    to Python; a condition given as a Column stays in the plan and may reach the scan.
+    """
     if passes is None:
         return df
     if callable(passes) and not isinstance(passes, Column):
-        return df.filter(F.udf(lambda r: bool(passes(r)), BooleanType())(F.struct(*df.columns)))
+
+        def test(rows: pd.DataFrame) -> pd.Series:
+            return pd.Series(passes(*(rows[c] for c in rows))).eq(True).fillna(False).astype(bool)
+
+        return df.filter(F.pandas_udf(test, BooleanType())(F.struct(*(F.col(f"`{c}`") for c in columns or df.columns))))
     return df.filter(passes)
 
 
@@ -134,6 +144,12 @@ def number_by_key(df: DataFrame, keys: Sequence[str], parts: int, name: str = "s
     return fixed.withColumn("_place", place).join(F.broadcast(bases), "_part").select(*df.columns, (F.col("_base") + F.col("_place") + start).cast("long").alias(name))
 
 
+def number_in_order(df: DataFrame, parts: int, name: str = "seq", start: int = 0) -> DataFrame:
+    """``df`` with gapless numbers from ``start`` in the order that its rows have now, such as a sort's."""
+    fixed = stage(df.withColumn("_at", F.monotonically_increasing_id()))
+    return number_by_key(fixed, ["_at"], parts, name, start).drop("_at")
+
+
 def pad(df: DataFrame, like: DataFrame) -> DataFrame:
     """Rows of a shorter table as rows of ``like``: columns that are missing become null."""
     return like.limit(0).unionByName(df, allowMissingColumns=True)

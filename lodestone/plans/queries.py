@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import casts
 from lodestone.functions.ordering import MAX, MIN
 from lodestone.operators import relational as ops
 from lodestone.operators.relational import SortOptions
-from lodestone.plans.session import Database
-from lodestone.sources.staging import shared_path
+from lodestone.sources.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,8 +50,45 @@ def scan_pruned(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
 def filter_callback(spark, sf):
-    found = ops.filter_rows(table(spark, sf, "lineitem"), (F.col("l_quantity") > 45) & (F.col("l_returnflag") == "R"))
-    return found.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    """A Python function decides, over batches of the two columns that it reads."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return ops.filter_rows(lines, lambda quantity, flag: (quantity > 45) & (flag == "R"), ["l_quantity", "l_returnflag"])
+
+
+@query("SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE nullif(c_nationkey, 3) % 2 = 0")
+def filter_callback_nulls(spark, sf):
+    """What a function says of a null is taken as no."""
+    return ops.filter_rows(_nullable(spark, sf), lambda k: k % 2 == 0, ["k"])
+
+
+@query("""SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS BIGINT) AS place
+FROM orders WHERE o_orderstatus = 'F'""")
+def filter_sorted(spark, sf):
+    """A function filters sorted rows, whose order stays."""
+    ordered = ops.sort_rows(table(spark, sf, "orders").select("o_totalprice", "o_orderkey", "o_orderstatus"), 2, [False, True])
+    found = ops.filter_rows(ordered, lambda status: status == "F", ["o_orderstatus"])
+    return ops.number_in_order(found, _parts(spark), "place").select("o_orderkey", "o_totalprice", "place")
+
+
+@query("SELECT o_orderkey, o_custkey, CAST(row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS BIGINT) AS place FROM orders")
+def scan_backward(spark, sf):
+    found = ops.ordered_scan(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], False)
+    return ops.number_in_order(found, _parts(spark), "place")
+
+
+@query("SELECT o_orderkey, o_custkey, rid FROM (SELECT *, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS rid FROM orders) WHERE rid IN (7, 77)")
+def row_id_read(spark, sf):
+    """Rows by the numbers that a load gave them."""
+    rows = ops.number_by_key(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], _parts(spark), "rid")
+    return ops.point_lookup(rows, ["rid"], [7]).union(ops.point_lookup(rows, ["rid"], [77]))
+
+
+@query("SELECT c_custkey, c_custkey AS key_c0, nullif(c_nationkey, 3) AS key_c1, c_custkey % 7 AS key_rid FROM customer")
+def key_struct(spark, sf):
+    """A key of columns by position, the row's id last."""
+    rows = _nullable(spark, sf).withColumn("rid", F.col("c_custkey") % 7)
+    keyed = ops.make_key(rows, [0, 1], "rid")
+    return keyed.select("c_custkey", F.col("key.c_custkey").alias("key_c0"), F.col("key.k").alias("key_c1"), F.col("key.rid").alias("key_rid"))
 
 
 @query("SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE nullif(c_nationkey, 3) IS NULL")
@@ -195,10 +231,30 @@ def sort_nulls_rank(spark, sf):
     return ops.number_by_key(nullable, ["k", "c_custkey"], _parts(spark), ascending=[False, True])
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, CAST(rank() OVER (ORDER BY l_orderkey, l_linenumber DESC) AS BIGINT) AS rn FROM lineitem")
 def sort_two_keys(spark, sf):
+    """A sort by a prefix of the columns; of the places of rows with equal keys the first is told."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
-    return ops.sort_rows(lines, 2)
+    placed = ops.number_in_order(ops.sort_rows(lines, 2, [True, False]), _parts(spark), "at", 1)
+    return placed.withColumn("rn", F.min("at").over(Window.partitionBy("l_orderkey", "l_linenumber"))).drop("at")
+
+
+@query("""SELECT s, p, o_orderkey, CAST(row_number() OVER (ORDER BY s NULLS LAST, p NULLS LAST, o_orderkey) AS BIGINT) AS rn
+FROM (SELECT nullif(o_orderstatus, 'F') AS s, nullif(o_orderpriority, '1-URGENT') AS p, o_orderkey FROM orders)""")
+def sort_full_rows(spark, sf):
+    """A sort by whole rows, two strings with nulls among the columns."""
+    orders = table(spark, sf, "orders").select(F.nullif("o_orderstatus", F.lit("F")).alias("s"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("p"), "o_orderkey")
+    return ops.number_in_order(ops.sort_rows(orders), _parts(spark), "rn", 1)
+
+
+@query("""SELECT s, p, o_orderkey, CAST(rank() OVER (ORDER BY s DESC NULLS FIRST, p NULLS LAST) AS BIGINT) AS rn
+FROM (SELECT nullif(o_orderstatus, 'F') AS s, nullif(o_orderpriority, '1-URGENT') AS p, o_orderkey FROM orders)""")
+def sort_prefix_nulls(spark, sf):
+    """A sort by two strings with nulls, in both directions; few keys have many rows each, so first places come from an aggregate."""
+    orders = table(spark, sf, "orders").select(F.nullif("o_orderstatus", F.lit("F")).alias("s"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("p"), "o_orderkey")
+    placed = stage(ops.number_in_order(ops.sort_rows(orders, 2, [False, True]), _parts(spark), "at", 1))
+    first = placed.groupBy("s", "p").agg(F.min("at").alias("rn")).select(F.col("s").alias("s2"), F.col("p").alias("p2"), "rn")
+    return placed.join(first, F.col("s").eqNullSafe(F.col("s2")) & F.col("p").eqNullSafe(F.col("p2"))).select("s", "p", "o_orderkey", "rn")
 
 
 @query("""SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM
@@ -294,6 +350,33 @@ def row_equality(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", ops.same_row([F.col("o_orderkey")], [F.col("o_custkey")]).alias("same"))
 
 
+@query("""SELECT c_custkey, (nullif(c_nationkey, 3) IS NOT DISTINCT FROM nullif(c_nationkey % 5, 3)) AND (nullif(c_mktsegment, 'BUILDING') IS NOT DISTINCT FROM nullif(c_mktsegment, 'MACHINERY'))
+AND (c_acctbal IS NOT DISTINCT FROM CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END) AS same FROM customer""")
+def row_equality_nulls(spark, sf):
+    """Whole rows of three columns, nulls on either side."""
+    left = [F.nullif(F.col("c_nationkey"), F.lit(3)), F.nullif("c_mktsegment", F.lit("BUILDING")), F.col("c_acctbal")]
+    right = [F.nullif(F.col("c_nationkey") % 5, F.lit(3)), F.nullif("c_mktsegment", F.lit("MACHINERY")), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal"))]
+    return table(spark, sf, "customer").select("c_custkey", ops.same_row(left, right).alias("same"))
+
+
+@query("""SELECT 'sort' AS op, count(*) AS n FROM orders WHERE o_orderkey < 0 UNION ALL SELECT 'distinct', count(*) FROM orders WHERE o_orderkey < 0
+UNION ALL SELECT 'unique top', count(*) FROM orders WHERE o_orderkey < 0 UNION ALL SELECT 'numbers', count(*) FROM orders WHERE o_orderkey < 0
+UNION ALL SELECT 'callback', count(*) FROM orders WHERE o_orderkey < 0 UNION ALL SELECT 'replace', count(*) FROM orders""")
+def empty_inputs(spark, sf):
+    """How many rows each operator gives of none; replacing by no rows leaves all."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    none = ops.range_scan(orders, ["o_orderkey"], upper=[0], inclusive=(True, False))
+    made = {
+        "sort": ops.sort_rows(none), "distinct": ops.sort_rows(none, 1, options=SortOptions(distinct=True)), "unique top": ops.sort_rows(none, 1, options=SortOptions(unique=True, top_n=5)),
+        "numbers": ops.number_by_key(none, ["o_orderkey"], _parts(spark)), "callback": ops.filter_rows(none, lambda key: key > 0, ["o_orderkey"]), "replace": ops.replace_rows(orders, none, "o_orderkey"),
+    }
+    found = None
+    for name, df in made.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
+        found = one if found is None else found.union(one)
+    return found
+
+
 # casts
 
 
@@ -338,72 +421,55 @@ def byte_length(spark, sf):
     return table(spark, sf, "documents").select("doc_id", casts.byte_length(F.col("text")).alias("n"))
 
 
+@query("SELECT doc_id, substr(hex(encode(text)), 7, 10) AS part, octet_length(encode(text)) AS n FROM documents")
+def byte_slice(spark, sf):
+    """Five bytes from the fourth on, fewer where the text ends; characters may be cut."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.hex(casts.byte_slice(F.col("text"), 3, 5)).alias("part"), casts.byte_length(F.col("text")).alias("n"))
+
+
 @query("SELECT c_custkey, concat_ws(',', CAST(c_custkey AS VARCHAR), coalesce(CAST(nullif(c_nationkey, 3) AS VARCHAR), 'null') || ' DESC') AS t FROM customer")
 def row_text(spark, sf):
     return _nullable(spark, sf).select("c_custkey", casts.row_text(["c_custkey", "k"], [True, False]).alias("t"))
 
 
-# stores and transactions, on tables made from the given ones
-
-
-def _database(spark) -> Database:
-    db = Database(spark, shared_path(spark))
-    db.create()
-    return db
+# changes one after another: each version is a table of its own, so what was read before stays as it was
 
 
 @query("SELECT o_orderkey AS c0, o_custkey AS c1, CASE WHEN o_orderstatus = 'O' THEN 0.0 ELSE o_totalprice END AS c2 FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT c_custkey + 100000000, c_custkey, c_acctbal FROM customer")
 def store_changes(spark, sf):
-    """Insert, remove, update and insert again, in two commits."""
-    s = _database(spark).create_session()
-    t = s.create_table("orders", "lldS")
-    t.insert_all(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"))
-    s.commit()
-    t.remove_where(F.col("c3") == "P")
-    t.update_where(F.col("c3") == "O", {"c2": F.lit(0.0)})
-    t.insert_all(table(spark, sf, "customer").select(F.col("c_custkey") + 100000000, "c_custkey", "c_acctbal"))
-    s.commit()
-    return t.df().select("c0", "c1", "c2")
+    """Insert, remove, update and insert again."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("c0"), F.col("o_custkey").alias("c1"), F.col("o_totalprice").alias("c2"), F.col("o_orderstatus").alias("c3"))
+    first = stage(rows)
+    kept = ops.update_where(ops.delete_where(first, F.col("c3") == "P"), F.col("c3") == "O", {"c2": F.lit(0.0)})
+    more = table(spark, sf, "customer").select((F.col("c_custkey") + 100000000).alias("c0"), F.col("c_custkey").alias("c1"), F.col("c_acctbal").alias("c2"))
+    return ops.insert_rows(kept, ops.pad(more, kept)).select("c0", "c1", "c2")
 
 
 @query("SELECT o_orderkey AS c0, o_totalprice AS c1 FROM orders")
 def snapshot_visibility(spark, sf):
-    """A session reads its snapshot though another has removed most rows and committed."""
-    db = _database(spark)
-    writer, reader = db.create_session(), db.create_session()
-    t = writer.create_table("orders", "ld")
-    t.insert_all(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"))
-    writer.commit()
-    seen = reader.get_table("orders")
-    rows = seen.df()
-    t.remove_where(F.col("c0") > 100)
-    writer.commit()
-    return rows.select("c0", "c1")
+    """A version is read as it was though a later one, made from it, lacks most of its rows."""
+    seen = stage(table(spark, sf, "orders").select(F.col("o_orderkey").alias("c0"), F.col("o_totalprice").alias("c1")))
+    later = stage(ops.delete_where(seen, F.col("c0") > 100))
+    return seen.join(later.select("c0"), "c0", "left_semi").unionByName(ops.delete_keys(seen, later, "c0"))
 
 
 @query("SELECT CAST(sum(l_linenumber) AS BIGINT) AS details, CAST(sum(l_linenumber) AS BIGINT) AS summary FROM lineitem")
 def isolation_sum(spark, sf):
-    """Details and their sum change in one transaction each time, so that every snapshot has them equal."""
-    s = _database(spark).create_session()
-    details, summary = s.create_table("det", "l"), s.create_table("sum", "l")
-    rid = summary.insert((0,))
+    """Details and their sum change together each time, so that every version has them equal."""
     lines = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("n"))
+    details, summary = lines.limit(0), lines.agg(F.lit(0).cast("long").alias("summary"))
     for part in (F.col("n") % 2 == 0, F.col("n") % 2 == 1):
         chosen = lines.where(part)
-        details.insert_all(chosen)
-        total = chosen.agg(F.sum("n")).first()[0] or 0
-        summary.update(rid, (summary.fetch_for_update(rid).c0 + total,))
-        s.commit()
-    return details.df().agg(F.sum("c0").alias("details")).crossJoin(summary.df().select(F.col("c0").alias("summary")))
+        details = ops.insert_rows(details, chosen)
+        summary = stage(summary.crossJoin(chosen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("more"))).select((F.col("summary") + F.col("more")).alias("summary")))  # one row each
+    return details.agg(F.sum("n").alias("details")).crossJoin(summary)
 
 
 @query("SELECT o_custkey AS c0, o_orderkey AS c1 FROM orders WHERE o_custkey > 100 AND o_custkey <= 300")
 def index_cursor_range(spark, sf):
-    s = _database(spark).create_session()
-    t = s.create_table("orders", "ll")
-    t.insert_all(table(spark, sf, "orders").select("o_custkey", "o_orderkey"))
-    s.commit()
-    return t.create_index([0]).cursor([100], [300], (False, True)).df().select("c0", "c1")
+    rows = stage(table(spark, sf, "orders").select(F.col("o_custkey").alias("c0"), F.col("o_orderkey").alias("c1")))
+    return ops.ordered_scan(rows, ["c0"], lower=[100], upper=[300], inclusive=(False, True))
 
 
 FLAGSHIP = "SELECT o_totalprice, o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 5000 ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 10"

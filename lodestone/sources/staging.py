@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; only where that is unset (on one machine) a temporary folder is made."""
+    """A new path below spark.checkpoint.dir; only on a local master, where that is unset, a temporary folder is made."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"

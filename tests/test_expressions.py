@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 from functools import cmp_to_key
 
@@ -167,8 +168,26 @@ def test_empty_inputs(spark):
 def test_changes_and_predicates(spark):
     df = rows_source(spark, [(1, "a"), (None, "b"), (3,)], "Is")
     assert sorted(r.c1 or "" for r in ops.delete_where(df, F.col("c0") > 2).collect()) == ["a", "b"]
-    assert ops.filter_rows(df, lambda r: r.c0 == 3).collect()[0].c1 is None
+    assert [tuple(r) for r in ops.filter_rows(df, lambda c0, c1: (c0 == 3) | (c1 == "b")).collect()] == [(None, "b"), (3, None)]
+    assert [r.c0 for r in ops.filter_rows(df, lambda c0: c0 < 3, ["c0"]).collect()] == [1]
     assert [r.key._rid if "_rid" in r.key else r.key[0] for r in ops.make_key(df, [0]).where("c0 = 1").collect()] == [1]
     got = ops.replace_rows(df, rows_source(spark, [(1, "new")], "Is"), "c0")
     assert {r.c1 for r in got.collect()} == {"new", "b", None}
     assert [r[0] for r in df.where("c0 = 1").select(casts.row_text(["c0", "c1"], [True, False])).collect()] == ["1,a DESC"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_uniqueness_fails_over_many_rows_and_the_sort_may_be_tried_again(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    with pytest.raises(UniqueConstraintError):
+        ops.sort_rows(lines, 1, options=SortOptions(unique=True))
+    once = ops.sort_rows(lines, 1, options=SortOptions(distinct=True, unique=True))
+    assert once.count() == lines.select("l_orderkey").distinct().count() and once.filter("l_orderkey is null").isEmpty()
+
+
+def test_only_the_columns_that_a_function_reads_go_to_it(spark, tmp_path):
+    spark.range(20).selectExpr("id as a", "id * 2 as b", "cast(id as string) as c").write.parquet(f"{tmp_path}/t")
+    found = ops.filter_rows(spark.read.parquet(f"{tmp_path}/t"), lambda a: a > 17, ["a"]).select("b")
+    assert sorted(r.b for r in found.collect()) == [36, 38]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<a:bigint,b:bigint>" in plan and "ArrowEvalPython" in plan
