@@ -16,10 +16,11 @@ m is. The join narrows down in exact steps:
    looked up in the long ones by binary search, and sets that reach T are linked. Lists name
    only sets whose size allows a link and that are not in the set's class yet, so no more
    links come out of a task than it has sets.
-4. A group of more than ``block`` sets is split. First each of its sets is compared with one
-   other, the smallest of the sets it shares most posted shingles with; then each set
-   outside the largest class so found is searched for in the blocks that it shares a posted
-   shingle with, two blocks in a task.
+4. A group of more than ``block`` sets is split, and its parts are searched alike. First each
+   of its sets is indexed beside its head, the smallest of the sets it shares most posted
+   shingles with, and the heads are searched for; then each set outside the largest class so
+   found is searched for in the blocks that it shares a posted shingle with, two blocks in a
+   task.
 
 :func:`similar` gives the classes, :func:`links` every link between different sets by the
 same search, without leaving out sets of one class.
@@ -289,6 +290,23 @@ def block_pairs(known: DataFrame, posted: DataFrame) -> DataFrame:
     return known.join(pairs, "node").select("grp", low, high, "node", "n", "tokens", "class", "outside", (F.col("block") > F.col("other")).alias("upper"))
 
 
+def beside_heads(best: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """Rows like those of :func:`block_pairs`: the sets of ``best(node, head)`` are the upper block, their heads the queries.
+
+    About ``block`` heads of a group share a task; a head that more than ``block`` sets have is
+    sent to a task for each ``block`` of them.
+    """
+    counts = best.groupBy("head").agg(F.count("*").alias("sets"))
+    homes = large.select(F.col("node").alias("head"), F.col("grp").alias("home"), "members")
+    hot = F.col("sets") > block
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.ceil(F.col(n) / block)).cast("int")
+    low = F.when(hot, -1 - deal("node", "sets")).otherwise(deal("head", "members")).alias("low")
+    dealt = best.join(counts, "head").join(homes, "head").select("node", "head", F.when(hot, F.col("head")).otherwise(F.col("home")).alias("grp"), low)
+    held = dealt.select("grp", "low", "node", F.lit(True).alias("upper"))
+    queries = dealt.select("grp", "low", F.col("head").alias("node"), F.lit(False).alias("upper")).distinct()
+    return held.union(queries).join(large.select("node", "n", "tokens"), "node").select("grp", "low", F.col("low").alias("high"), "node", "n", "tokens", F.col("node").alias("class"), F.lit(True).alias("outside"), "upper")
+
+
 class Groups:
     """What :func:`similar` and :func:`links` search in: ``rows`` of documents, ``nodes`` for distinct sets, ``posted`` tokens, ``shares`` of heads, ``members`` of groups."""
 
@@ -328,18 +346,15 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 100
     """
     groups = Groups(docs, width, percent)
     name, rows, shares = [*Groups.NAME], groups.rows, groups.shares
-    large = groups.members.where(F.col("members") > block)
     links = [staged(_searched(groups.small(block), percent))]
 
-    # large groups: one comparison for each set, then a search by pairs of blocks for the sets outside the largest class
-    order = Window.partitionBy("node").orderBy(F.desc("shared"), "head")
-    best = shares.join(large.select("node").distinct(), "node").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("node", "head")
-    left, right = large.select("node", "n", "tokens"), large.select(F.col("node").alias("head"), F.col("n").alias("m"), F.col("tokens").alias("others"))
-    overlap = F.size(F.array_intersect("tokens", "others"))
-    verified = staged(best.join(left, "node").join(right, "head").where(overlap * 100 >= percent * (F.col("n") + F.col("m") - overlap)).select(F.col("node").alias("a"), F.col("head").alias("b")))
+    # large groups: each set beside one other, then a search by pairs of blocks for the sets outside the largest class
+    large = groups.members.where(F.col("members") > block)
     if not large.isEmpty():
-        links.append(verified)
-        classes = components(verified).withColumnRenamed("component", "class")
+        order = Window.partitionBy("node").orderBy(F.desc("shared"), "head")
+        best = staged(shares.join(large.select("node"), "node").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("node", "head"))
+        links.append(staged(_searched(beside_heads(best, large, block), percent)))
+        classes = components(links[-1]).withColumnRenamed("component", "class")
         known = large.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
         largest = known.groupBy("grp", "class").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
         known = known.join(largest, "grp").withColumn("outside", F.col("class") != F.col("main"))

@@ -102,6 +102,27 @@ def test_a_task_holds_two_blocks_at_most(make, monkeypatch):
     assert max(r["count"] for r in given[-1].groupBy(keys).count().collect()) <= 45
 
 
+def test_a_head_of_many_sets_is_dealt_over_tasks(make, monkeypatch):
+    """Near copies of one text, whose rarest shared shingles lead all of them to the same head."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(n, " ".join([*words, f"own{n}"] if n % 2 else [*words[1:], f"own{n}"])) for n in range(120)]
+    given = []
+    plain = jaccard_join._searched
+
+    def searched(frame, percent, every=False):
+        given.append(frame)
+        return plain(frame, percent, every)
+
+    monkeypatch.setattr(jaccard_join, "_searched", searched)
+    got = similar(make(rows), block=10).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert {r.component_id for r in got} == {0}
+    heads = given[1]
+    assert heads.where("upper").select("node").distinct().count() > 100
+    assert heads.where("low < 0").select("grp", "low").distinct().count() >= 10  # one head, many tasks
+    assert max(r["count"] for r in heads.groupBy("grp", "low", "high").count().collect()) <= 45
+
+
 @pytest.mark.parametrize("block", [1000, 7])
 def test_every_link_between_different_sets(docs, rows, block):
     found, member = links(docs, block=block)
