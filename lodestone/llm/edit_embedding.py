@@ -118,112 +118,180 @@ def fingerprints(docs: DataFrame, samples: int = 128) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, need: int) -> np.ndarray:
-    """Which rows of ``a`` agree with which rows of ``b`` in at least ``need`` samples."""
-    if len(a) * len(b) <= 2048:
-        return (a[:, None] == b[None]).sum(2) >= need
-    counts = np.zeros((len(a), len(b)), np.uint16)
-    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
-        counts += x[:, None] == y
-    return counts >= need
-
-
-def joining_pairs(nodes: np.ndarray, classes: np.ndarray, prints: np.ndarray, left: np.ndarray, right: np.ndarray, need: int, step: int = 256) -> list[tuple[int, int]]:
-    """Pairs of a left and a right row that are near, enough of them to join all classes that any near pair joins."""
-    _, of = np.unique(classes, return_inverse=True)
-    pairs = []
-    for at in range(0, len(left), step):
-        some = left[at : at + step]
-        near = near_pairs(prints[some], prints[right], need)
-        for k in np.flatnonzero(near.any(1)).tolist():
-            i, found = some[k], right[near[k]]
-            found = found[of[found] != of[i]]
-            for c, n in zip(*np.unique(of[found], return_index=True), strict=True):
-                pairs.append((int(nodes[i]), int(nodes[found[n]])))
-                of[of == c] = of[i]
-    return pairs
-
-
-def near_duplicates(docs: DataFrame, least: float = 0.75, band: int = 4, samples: int = 128, block: int = 1000) -> DataFrame:
+class Bands:
+    """Which samples two near fingerprints must agree in.
+
+    Samples are dealt into groups, by their steps in a walk of ``USUAL`` steps in turn, so that those
+    read from a text's first few characters are spread. Of two fingerprints that disagree in at most
+    ``miss`` samples, some group disagrees in at most ``few = miss // groups``. Such a group, cut into
+    ``few + 2`` bands or more, has two of its first ``few + 2`` bands whole, the earlier of them among
+    the first ``few + 1``.
+    """
+
+    USUAL = 4096
+
+    def __init__(self, walk: Walk, need: int, band: int = 4):
+        samples = walk.samples
+        n = max(1, min(4, samples // 16))
+        usual = np.zeros(samples, np.int64)
+        before = walk.steps < self.USUAL
+        np.maximum.at(usual, walk.owners[before], walk.steps[before])
+        turn = np.argsort(usual, kind="stable")
+        self.few = (samples - need) // n
+        self.groups, dealt = [], []  # where a group begins, how many samples it has, and the edges of its bands
+        for g in range(n):
+            own = turn[g::n]
+            cuts = max(-(-len(own) // band), self.few + 2)
+            spans = [own[i::cuts] for i in range(cuts)]
+            self.groups.append((sum(map(len, dealt)), len(own), np.cumsum([0, *map(len, spans)]).tolist()))
+            dealt += spans
+        #: Fingerprints in this order have each group's and each band's samples side by side.
+        self.order = np.concatenate(dealt)
+
+    def firsts(self) -> list[tuple[int, int, int]]:
+        """For each group and each band that may be the earlier one: the group, where the band begins and how long it is."""
+        return [(g, a + edges[x], edges[x + 1] - edges[x]) for g, (a, _, edges) in enumerate(self.groups) for x in range(self.few + 1)]
+
+    def keys(self, number: int, group: np.ndarray):
+        """For the first band ``number``, a key of it and each later band, of rows of the group's samples."""
+        edges = self.groups[number // (self.few + 1)][2]
+        x = number % (self.few + 1)
+
+        def add(key: np.ndarray, k: int) -> np.ndarray:
+            for i in range(edges[k], edges[k + 1]):
+                key = (key ^ group[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            return key
+
+        first = add(np.zeros(len(group), np.uint64), x)
+        for y in range(x + 1, self.few + 2):
+            yield add(first, y)
+
+
+def close_pairs(keys: np.ndarray, classes: np.ndarray, group: np.ndarray, few: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key and two classes that disagree in at most ``few`` columns of ``group``, about ``most`` compared at a time."""
+    n = len(keys)
+    order = np.lexsort((classes, keys))
+    k, c = keys[order], classes[order]
+    words = np.zeros((n, -(-group.shape[1] // 8) * 8), np.uint8)
+    words[:, : group.shape[1]] = group[order]
+    words = words.view(np.uint64)
+    other = k[1:] != k[:-1]
+
+    def ends(new: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(new) + 1
+        return np.repeat(np.append(at, n), np.diff(np.concatenate([[0], at, [n]])))
+
+    begins = ends(other | (c[1:] != c[:-1]))  # a row meets the classes of its key after its own
+    counts = ends(other) - begins
+    upto = np.cumsum(counts)
+    rest, top = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+    at = 0
+    while at < n and upto[-1] > (upto[at - 1] if at else 0):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        some = counts[at:stop]
+        left = np.repeat(np.arange(at, stop), some)
+        right = np.arange(len(left)) + np.repeat(begins[at:stop] - np.cumsum(some) + some, some)
+        differ = words[left] ^ words[right]
+        near = np.bitwise_count(((differ & rest) + rest | differ) & top).sum(1) <= few  # the top bit of each byte that is not 0
+        yield order[left[near]], order[right[near]]
+        at = stop
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, need: int, samples: int) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose fingerprints ``nodes(head, print)`` agree in at least ``need`` samples."""
+
+    def agree(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, samples) for i in (2, 3))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= need))
+
+    one, two = (nodes.select(F.col("head").alias(i), F.col("print").alias(f"print_{i}")) for i in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "print_a", "print_b").mapInArrow(agree, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.75, band: int = 4, samples: int = 128, block: int = 1 << 17) -> DataFrame:
     """Rows (doc_id, component): documents whose fingerprints agree in a share ``least`` of samples.
 
-    Equal fingerprints are one class. Samples are dealt into more bands, of at most ``band``
-    samples, than two classes that link may differ in, so two such classes agree in a whole
-    band and no link is missed. First each class of a band is compared with the band's
-    smallest; then all classes of a band that are not in one component yet, ``block`` against
-    ``block``, so that a task holds two blocks whatever the band's size. Each pair is
-    verified on the full fingerprints.
+    Equal fingerprints are one node. First each node of a key of eight samples is compared with the
+    key's smallest, which joins most of what is near. Then the nodes of one first band (see
+    :class:`Bands`) share a task, which compares those of different classes that also agree in a
+    later band, by their group's samples: two near nodes are compared in some task, so no link is
+    missed, and unrelated ones seldom are. What a group leaves is verified on the full
+    fingerprints. The nodes of a first band that more than ``block`` have are compared block
+    against block, two in a task.
     """
-    need = math.ceil(least * samples - 1e-9)
+    need = min(samples, max(0, math.ceil(least * samples - 1e-9)))
     parts = partitions(docs.sparkSession)
-    n_bands = max(-(-samples // band), samples - need + 1) if need > 0 else 1
-    edges = [samples * i // n_bands for i in range(n_bands + 1)] if need > 0 else [0, 0]
-    prints = staged(fingerprints(docs, samples).where("doc_id is not null"))
-    heads = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head")))
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("fingerprint", 2 * a + 1, 2 * (b - a))) for i, (a, b) in enumerate(pairwise(edges))))).alias("key")
-    bands = heads.select("head", keys)
-    firsts = bands.groupBy("key").agg(F.min("head").alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = bands.join(firsts, "key").where("head > first").select("head", "first").distinct()
-    one, two = heads.alias("one"), heads.alias("two")
-    same = sum((F.substring("one.fingerprint", F.lit(2 * i + 1), F.lit(2)) == F.substring("two.fingerprint", F.lit(2 * i + 1), F.lit(2))).cast("int") for i in range(samples))
-    links = staged(pairs.join(one, F.col("one.head") == pairs["head"]).join(two, F.col("two.head") == pairs["first"]).where(same >= F.lit(need)).select(pairs["head"].alias("a"), pairs["first"].alias("b")))
-
-    # bands that hold several components: those with more members than a block get blocks of their own, the others share blocks
-    found = components(links).select(F.col("node").alias("head"), F.col("component").alias("class"))
-    classed = staged(heads.join(found, "head", "left").select("head", F.coalesce("class", "head").alias("class"), "fingerprint"))
-    banded = classed.select("head", "class", F.unhex("fingerprint").alias("print"), keys)
-    counted = banded.groupBy("key", "class").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mixed = counted.groupBy("key").agg(F.count("*").alias("classes"), F.ceil(F.sum(F.when(F.col("n") <= block, F.col("n")).otherwise(0)) / block).cast("int").alias("shared"), F.sum(F.when(F.col("n") > block, blocks).otherwise(0)).cast("int").alias("single")).where("classes > 1")
-    before = F.sum("own").over(Window.partitionBy("key").orderBy("class")) - F.col("own")
-    large = counted.where(F.col("n") > block).select("key", "class", blocks.alias("own")).withColumn("before", before.cast("int"))
-    placed = banded.join(mixed, "key").join(large, ["key", "class"], "left")
-    number = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("head"), F.col("shared"))).otherwise(F.col("shared") + F.col("before") + F.pmod(F.xxhash64("head"), F.col("own"))).cast("int")
-    placed = placed.withColumn("block", number).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shared") + F.col("single") - 1)))
-    first = F.col("shared") + F.col("before")
-    met = placed.where(F.col("own").isNull() | (F.col("other") < first) | (F.col("other") >= first + F.col("own")))
-    task = ["key", "low", "high"]
-    met = met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "head", "class", "print")
+    bands = Bands(Walk(samples), need, band)
+    few, order, firsts = bands.few, bands.order, bands.firsts()
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        walk = Walk(samples)
+        for b in batches:
+            made = [walk.start().feed(t.as_py() or "").values[order].tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "print"])
+
+    prints = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, print binary"))
+    heads = staged(prints.groupBy("print").agg(F.min("doc_id").alias("head")))
+
+    edges = [*range(0, samples, 8), samples]
+    wide = [F.xxhash64(F.lit(a), F.substring("print", a + 1, b - a)) for a, b in pairwise(edges)]
+    keyed = heads.select("head", F.explode(F.array(*wide)).alias("key"))
+    smallest = keyed.groupBy("key").agg(F.min("head").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keyed.join(smallest, "key").where("head > first").select(F.col("head").alias("a"), F.col("first").alias("b")).distinct()
+    found = components(verified(pairs, heads, need, samples)).select(F.col("node").alias("head"), F.col("component").alias("class"))
+    classed = staged(heads.join(found, "head", "left").select("head", F.coalesce("class", "head").alias("class"), "print"))
+
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("print", a + 1, n)).alias("value"), F.substring("print", bands.groups[g][0] + 1, bands.groups[g][1]).alias("group")) for i, (g, a, n) in enumerate(firsts)))).alias("at")
+    banded = classed.select("head", "class", at).select("head", "class", "at.*")
+    large = staged(banded.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > block).select("band", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    shares = -(-4 * heads.count() // block) or 1
+    placed = banded.join(F.broadcast(large), ["band", "value"], "left")  # at most a row for each ``block`` rows of ``banded``
+    part = F.when(F.col("blocks").isNull(), F.pmod("value", F.lit(shares))).otherwise(F.col("value")).alias("part")
+    own = F.when(F.col("blocks").isNull(), -1).otherwise(F.pmod(F.xxhash64("head"), "blocks")).cast("int").alias("own")
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other")
+    task = ["band", "part", "low", "high"]
+    met = placed.select("band", part, own, other, "head", "class", "group").select("band", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "head", "class", "group")
 
     def compare(batches: Iterator[pa.RecordBatch]):
         """Rows come sorted by task; a task is compared when the next one begins."""
 
-        def pairs_of(table: pa.Table) -> list[tuple[int, int]]:
-            key, low, high, own, head, kind = (table.column(i).to_numpy() for i in range(6))
-            values = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, samples)
-            starts = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)]))
-            rows = []
-            for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
-                at = np.arange(a, b) - a
-                left, right = (at, at) if low[a] == high[a] else (at[own[a:b] == low[a]], at[own[a:b] == high[a]])
-                if b - a > 1:
-                    rows += joining_pairs(head[a:b], kind[a:b], values[a:b], left, right, need)
-            return rows
-
-        def made(table: pa.Table) -> pa.RecordBatch:
-            rows = pairs_of(table)
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+        def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            number, part, low, high, own, head, kind = (table.column(i).to_numpy() for i in range(7))
+            starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([np.diff(c) != 0 for c in (number, part, low, high)])]))
+            for a, b in zip(starts, [*starts[1:], len(head)], strict=True):
+                group = np.frombuffer(b"".join(table.column(7)[a:b].to_pylist()), np.uint8).reshape(b - a, -1)
+                for keys in bands.keys(int(number[a]), group):
+                    for x, y in close_pairs(keys, kind[a:b], group, few):
+                        if low[a] != high[a]:  # each block meets itself in a task of its own
+                            two = own[a:b][x] != own[a:b][y]
+                            x, y = x[two], y[two]
+                        if len(x):
+                            one, two = head[a:b][x], head[a:b][y]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            name = [b.column(i).to_numpy() for i in range(3)]
-            new = [n[0] for n in name] != [held[-1].column(i)[-1].as_py() for i in range(3)] if held else False
+            name = [b.column(i).to_numpy() for i in range(4)]
+            new = [n[0] for n in name] != [held[-1].column(i)[-1].as_py() for i in range(4)] if held else False
             if new:
-                yield made(pa.Table.from_batches(held))
+                yield from pairs_of(pa.Table.from_batches(held))
                 held = []
             last = int(np.flatnonzero(np.logical_or.reduce([n != n[-1] for n in name]))[-1]) + 1 if any((n != n[-1]).any() for n in name) else 0
             if last:
-                yield made(pa.Table.from_batches([*held, b.slice(0, last)]))
+                yield from pairs_of(pa.Table.from_batches([*held, b.slice(0, last)]))
                 held = []
             held.append(b.slice(last))
         if held:
-            yield made(pa.Table.from_batches(held))
+            yield from pairs_of(pa.Table.from_batches(held))
 
-    rest = met.repartition(parts, *task).sortWithinPartitions(*task).mapInArrow(compare, "a long, b long")
-    found = components(links.union(rest))
-    members = prints.join(heads, "fingerprint").select("doc_id", "head")
+    rest = met.repartition(parts, *task).sortWithinPartitions(*task).mapInArrow(compare, "a long, b long").distinct()
+    joined = classed.where("head <> class").select(F.col("head").alias("a"), F.col("class").alias("b"))
+    found = components(joined.union(verified(rest, heads, need, samples)))
+    members = prints.join(heads, "print").select("doc_id", "head")
     return members.join(found, F.col("head") == F.col("node"), "left").select("doc_id", F.coalesce("component", "head").alias("component"))
 
 

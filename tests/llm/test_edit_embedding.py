@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.edit_embedding import Walk, edited_fingerprints, fingerprints, likeness, near_duplicates
+from lodestone.llm.edit_embedding import Bands, Walk, close_pairs, edited_fingerprints, fingerprints, likeness, near_duplicates
 
 
 class PlainWalk:
@@ -131,3 +131,47 @@ def test_recall_on_the_test_table(spark):
         for i, j in pairs:
             top[i] = top[j] = min(top[i], top[j])
     assert got == top
+
+
+def test_bands_meet_all_near_pairs_and_few_others():
+    """Most texts begin alike, so samples of early steps agree by chance: bands that hold several of them would unite most texts."""
+    rng, walk = random.Random(3), Walk()
+    text = lambda: rng.choice(["the ", "the ", "a "]) + "".join(rng.choices("etaoinshrdlu      ", k=rng.randint(300, 2000)))
+    texts = [text() for _ in range(600)]
+    texts += [t[: len(t) * i // 8] + "".join(rng.choices("xyz", k=5)) + t[len(t) * i // 8 + 5 :] for t in texts[:60] for i in (3, 5, 7)]
+    every = np.stack([walk.start().feed(t).values for t in texts])
+    agree = (every[:, None] == every[None]).sum(2)
+    for need in (96, 90, 122, 128):
+        bands = Bands(walk, need)
+        assert sorted(bands.order.tolist()) == list(range(128))
+        prints, own = every[:, bands.order], np.arange(len(texts))
+        met, kept = np.zeros_like(agree, bool), np.zeros_like(agree, bool)
+        for i, (g, at, size) in enumerate(bands.firsts()):
+            first, n, edges = bands.groups[g]
+            group = prints[:, first : first + n]
+            assert at == first + edges[i % (bands.few + 1)] and size > 0
+            for keys in bands.keys(i, group):
+                met |= keys[:, None] == keys[None]
+                for few, into in ((n, None), (bands.few, kept)):
+                    pairs = np.concatenate([np.stack(p, 1) for p in close_pairs(keys, own, group, few, 100)] or [np.zeros((0, 2), int)])
+                    if into is None:
+                        assert 2 * len(pairs) == (keys[:, None] == keys[None]).sum() - len(texts)
+                    else:
+                        into[pairs[:, 0], pairs[:, 1]] = into[pairs[:, 1], pairs[:, 0]] = True
+        near = np.triu(agree >= need, 1)
+        assert need == 128 or near.sum() > 50
+        assert kept[near].all() and (np.triu(kept, 1) & ~near).sum() < 400  # kept by a group's samples alone
+        if need == 96:  # far pairs that are compared, beside those that 33 plain bands unite
+            cuts, plain = [128 * i // 33 for i in range(34)], np.zeros_like(met)
+            for x, y in zip(cuts, cuts[1:]):  # noqa: B905
+                plain |= (every[:, None, x:y] == every[None, :, x:y]).all(2)
+            far = np.triu(agree < 64, 1)
+            assert 10 * (met & far).sum() < (plain & far).sum()
+
+
+def test_pairs_of_one_class_are_not_compared():
+    keys, group = np.zeros(5000, np.uint64), np.zeros((5000, 30), np.uint8)
+    classes = np.zeros(5000, np.int64)
+    assert list(close_pairs(keys, classes, group, 0)) == []
+    classes[17] = 1
+    assert sum(len(x) for x, _ in close_pairs(keys, classes, group, 0, 100)) == 4999
